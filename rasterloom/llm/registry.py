@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filters
-from .common import table
+import functools
+
+from pyspark.sql import functions as F
+
+from . import mixing, packing, url_filters, warc
+from .common import cut, table
+
+
+@functools.cache
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_warc(spark, sf_dir):
+    """Archives are written once, into the shared folder, and every figure below comes from reading them back."""
+    pages = table(spark, sf_dir, "pages")
+    archives = cut(warc.write(warc.with_revisits(pages), warc.train_dictionary(pages)))
+    of = lambda urn: F.expr(f"try_cast(substring({urn}, 10) as bigint)")
+    return warc.read(archives, payloads=False).select(of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", of("refers_to_id").alias("refers_to"))
 
 
 def op4_url_filters(spark, sf_dir):
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, url_filters.RULES))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op4_url_filters": op4_url_filters, "op8_mixing": op8_mixing}
+    return {f.__name__: f for f in (op2_warc, op4_url_filters, op5_packing, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
