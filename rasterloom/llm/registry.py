@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, url_filters, warc
+from . import mixing, packing, simhash, url_filters, warc
 from .common import cut, table
 
 
@@ -33,12 +33,16 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_url_filters, op5_packing, op8_mixing)}
+    return {f.__name__: f for f in (op2_warc, op4_url_filters, op5_packing, op6_simhash, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
