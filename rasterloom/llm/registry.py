@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, url_filters, warc
+from . import embeddings, mixing, packing, simhash, url_filters, warc
 from .common import cut, table
 
 
@@ -41,8 +41,12 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_url_filters, op5_packing, op6_simhash, op8_mixing)}
+    return {f.__name__: f for f in (op2_warc, op4_url_filters, op5_packing, op6_simhash, op8_mixing, op9_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
