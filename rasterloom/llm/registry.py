@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, simhash, url_filters, warc
+from . import embeddings, mixing, packing, quality, simhash, url_filters, warc
 from .common import cut, table
 
 
@@ -17,6 +17,11 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(quality.labelled_rows(docs, table(spark, sf_dir, "labels"))))
+
+
 def op2_warc(spark, sf_dir):
     """Archives are written once, into the shared folder, and every figure below comes from reading them back."""
     pages = table(spark, sf_dir, "pages")
@@ -46,7 +51,7 @@ def op9_embeddings(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_url_filters, op5_packing, op6_simhash, op8_mixing, op9_embeddings)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op4_url_filters, op5_packing, op6_simhash, op8_mixing, op9_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
