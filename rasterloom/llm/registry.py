@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, quality, simhash, url_filters, warc
+from . import embeddings, language, licenses, mixing, packing, quality, simhash, toxicity, url_filters, warc
 from .common import cut, table
 
 
@@ -30,6 +30,10 @@ def op2_warc(spark, sf_dir):
     return warc.read(archives, payloads=False).select(of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", of("refers_to_id").alias("refers_to"))
 
 
+def op3_language(spark, sf_dir):
+    return language.evaluate(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark, sf_dir):
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, url_filters.RULES))
 
@@ -42,6 +46,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -50,8 +58,12 @@ def op9_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.evaluate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op4_url_filters, op5_packing, op6_simhash, op8_mixing, op9_embeddings)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_language, op4_url_filters, op5_packing, op6_simhash, op7_licenses, op8_mixing, op9_embeddings, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
