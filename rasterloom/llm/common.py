@@ -56,3 +56,9 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
 def crc_bucket(column: str, parts: int) -> Column:
     """crc32 of a column as text, modulo parts; null where the column is null."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share."""
+    ensure_checkpoints(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")

@@ -202,4 +202,7 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs, with all their columns, that pass the base rules and the list."""
     found = statistics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", "text"), keep=["__row"])
-    return found.filter(~base_failed() & rules.kept()).select("__row.*")
+    # the row number is never below 0; not being a function of the row, it keeps the filter from being pushed down and
+    # the statistics from being made anew for each of their uses
+    verdict = F.when(F.monotonically_increasing_id() >= 0, ~base_failed() & rules.kept())
+    return found.withColumn("__kept", verdict).filter("__kept").select("__row.*")

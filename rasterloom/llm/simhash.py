@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -37,12 +37,16 @@ _SEGMENTS = ((42, 22), (21, 21), (0, 21))
 
 
 def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits as a signed number: a bit is set if it is set in over half of the k-word shingles' XXH64."""
+    """The majority of the XXH64 of a text's k-word shingles, repeats included; 0 without words."""
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII white space characters
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) > k else iter([b" ".join(words)])
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(1, len(words) - k + 1))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(1, len(words) - k + 1)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits as a signed number: those that are set in over half of the hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -145,19 +149,32 @@ def links_in(keys: np.ndarray, fps: np.ndarray, bits: int, small: int = 24) -> t
     return pairs[:, 0], pairs[:, 1]
 
 
+def sampled(column: str) -> Column:
+    """True for the share of rows by which heavy keys are looked for."""
+    return F.pmod(F.xxhash64(column), F.lit(KEY_SHARE)) == 0
+
+
+def split_heavy(keyed: DataFrame, part: DataFrame, node: str, key_rows: int) -> DataFrame:
+    """keyed with the rows of heavy keys sent to every pair of chunks that has theirs, under a key of its own, so that all pairs still meet while a task holds about key_rows rows of a key.
+
+    part, the rows of a sample of nodes, only says which keys are heavy; a wrong guess costs memory, never a pair.
+    """
+    heavy = cut(part.groupBy("key").count().filter(F.col("count") * KEY_SHARE > key_rows).select("key", F.ceil(F.col("count") * (4 * KEY_SHARE) / key_rows).cast("int").alias("chunks")))
+    if heavy.isEmpty():
+        return keyed
+    own = F.pmod(F.xxhash64(node, F.lit(7)), F.col("chunks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    dealt = keyed.join(heavy, "key", "left")
+    light = dealt.filter("chunks IS NULL").select(keyed.columns)
+    return light.unionByName(dealt.filter("chunks IS NOT NULL").withColumn("key", F.explode(met)).select(keyed.columns))
+
+
 def link(fps: DataFrame, bits: int = MAX_BITS, key_rows: int = KEY_ROWS) -> DataFrame:
     """(a, b): links between the distinct fingerprints in fps (column fp) that connect all that differ in at most bits bits."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"bits must be from 0 to {MAX_BITS}: beyond that two segments may have more than two errors")
-    keyed = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
-    sampled = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(KEY_SHARE)) == 0).select("fp").mapInArrow(_keyed, "key long, fp long")
-    heavy = cut(sampled.groupBy("key").count().filter(F.col("count") * KEY_SHARE > key_rows).select("key", F.ceil(F.col("count") * (4 * KEY_SHARE) / key_rows).cast("int").alias("chunks")))
-    if not heavy.isEmpty():
-        # a heavy key's fingerprints go to every pair of chunks that has theirs, so that all pairs still meet
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-        met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-        dealt = keyed.join(heavy, "key", "left")
-        keyed = dealt.filter("chunks IS NULL").select("key", "fp").unionByName(dealt.filter("chunks IS NOT NULL").select(F.explode(met).alias("key"), "fp"))
+    expand = lambda df: df.select("fp").mapInArrow(_keyed, "key long, fp long")
+    keyed = split_heavy(expand(fps), expand(fps.filter(sampled("fp"))), "fp", key_rows)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs()
