@@ -34,8 +34,8 @@ class Words:
         self.sizes = np.diff(np.append(self.starts, len(at)))
         self.text = np.searchsorted(text_ends, at[self.starts], "right")  # of each word
         self.counts = np.bincount(self.text, minlength=len(texts))  # words of each text
-        self.place = np.arange(len(at)) - np.repeat(self.starts, self.sizes)
-        self.rest = np.repeat(self.sizes, self.sizes) - self.place
+        self.place = (np.arange(len(at)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
+        self.rest = np.repeat(self.sizes.astype(np.int32), self.sizes) - self.place
 
     def grams(self, n: int, bits: int) -> np.ndarray:
         """For each letter the feature number, from 1 to 2**bits, of the n letters from it on; 0 where the word ends before. The word's first and last n letters are features of their own."""

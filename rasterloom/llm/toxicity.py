@@ -29,7 +29,7 @@ from .lexical import Words
 
 ORDERS, BITS, WHOLE_BITS = (3, 4, 5), 17, 18
 #: Texts at most that are confirmed toxic, unlabelled, and labelled for the offset; characters of each.
-TOXIC_ROWS, UNLABELLED_ROWS, OFFSET_ROWS, SAMPLE_CHARS = 1000, 2500, 3000, 8000
+TOXIC_ROWS, UNLABELLED_ROWS, OFFSET_ROWS, SAMPLE_CHARS = 800, 1600, 2000, 4000
 STEPS, RATE, SHARP = 60, 0.3, 4.0
 
 
@@ -92,7 +92,7 @@ def train(toxic: list[str], unlabelled: list[str], prior: float, steps: int = ST
     ids, whole = _features(words)
     p = len(toxic)
     is_toxic = np.arange(len(words.counts)) < p
-    by_letter = np.repeat(np.arange(len(words.starts)), words.sizes)
+    by_letter = np.repeat(np.arange(len(words.starts), dtype=np.int32), words.sizes)
 
     def spread(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         letters = value[by_letter]
