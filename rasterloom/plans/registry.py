@@ -1,11 +1,256 @@
-"""Every registered query of the raster engine and its DuckDB counterpart."""
+"""Every registered query of the raster engine. oracle has the same in DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import analysis, batch, geometry, neighbourhood, paint, pixels, regions, text
+from ..operators.pixels import d
+from ..sources.rasters import from_embeddings
+from . import oracle
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _rounded(**columns) -> list:
+    return [F.round(c, 6).alias(n) for n, c in columns.items()]
+
+
+def raster_pixels(spark, sf_dir):
+    return raster(spark, sf_dir)
+
+
+def pixel_projections(spark, sf_dir):
+    return raster(spark, sf_dir).select("image_id", "y", "x", pixels.packed15().alias("packed"), *_rounded(luma=pixels.luma(), flat_r=pixels.flattened("r"), pre_g=pixels.premultiplied("g"), sub_x=pixels.subpixel(3)[0], sub_y=pixels.subpixel(3)[1]))
+
+
+def rgb_to_lab(spark, sf_dir):
+    l, a, b = pixels.lab()  # noqa: E741
+    at = lambda c: F.round(c, 4) + d(0)
+    return raster(spark, sf_dir).select("image_id", "y", "x", at(l).alias("l"), at(a).alias("a_star"), at(b).alias("b_star"))
+
+
+def stride_sample(spark, sf_dir):
+    return pixels.stride_sample(raster(spark, sf_dir), 16).select("image_id", "y", "x", "r")
+
+
+def color_histogram(spark, sf_dir):
+    return raster(spark, sf_dir).groupBy("image_id", pixels.packed15().alias("packed")).agg(F.count("*").alias("n"))
+
+
+def local_median(spark, sf_dir):
+    return neighbourhood.with_block(raster(spark, sf_dir), F.col("r").cast("double")).select("image_id", "y", "x", neighbourhood.median9().alias("median"), neighbourhood.spread9().alias("spread"))
+
+
+def denoise(spark, sf_dir):
+    return neighbourhood.median_rgb(raster(spark, sf_dir))
+
+
+def analyze_content(spark, sf_dir):
+    return analysis.analyze(raster(spark, sf_dir))
+
+
+def window_max(spark, sf_dir):
+    return neighbourhood.window_max(raster(spark, sf_dir), "a", 2, "most").select("image_id", "y", "x", "most")
+
+
+def sobel_edges(spark, sf_dir):
+    return neighbourhood.with_block(raster(spark, sf_dir), (F.col("r") + F.col("g") + F.col("b")).cast("double") / d(3)).select("image_id", "y", "x", F.round(neighbourhood.sobel(), 6).alias("edge"))
+
+
+def edge_correlation(spark, sf_dir):
+    """Pearson correlation of the edge strength of two channels of each image."""
+    of = lambda c: neighbourhood.with_block(raster(spark, sf_dir), F.col(c).cast("double")).select("image_id", "y", "x", neighbourhood.sobel().alias(f"e{c}"))
+    return of("r").join(of("g"), ["image_id", "y", "x"]).groupBy("image_id").agg(F.round(F.corr("er", "eg"), 6).alias("edges"))
+
+
+def border_statistics(spark, sf_dir):
+    return analysis.border_statistics(raster(spark, sf_dir)).select("image_id", "mr", "mg", "mb", F.round("deviation", 6).alias("deviation"))
+
+
+def backdrop_candidates(spark, sf_dir):
+    return analysis.backdrop_candidates(raster(spark, sf_dir), 100.0).select("image_id", "y", "x")
+
+
+def _labels(spark, sf_dir):
+    return raster(spark, sf_dir).withColumn("label", F.expr("cast(r div 32 as int) + 1"))
+
+
+def boundary_mask(spark, sf_dir):
+    return neighbourhood.boundary(_labels(spark, sf_dir)).select("image_id", "y", "x", "on_boundary")
+
+
+def dilate_mask(spark, sf_dir):
+    grid = raster(spark, sf_dir)
+    return neighbourhood.dilate(grid.filter("r > 150"), 2, grid.filter("a > 100")).select("image_id", "y", "x")
+
+
+def distance_to_outside(spark, sf_dir):
+    return neighbourhood.distance_within(raster(spark, sf_dir), "a < 100", 3).select("image_id", "y", "x", F.round("distance", 6).alias("distance"))
+
+
+def components(spark, sf_dir):
+    return regions.components(_labels(spark, sf_dir).select("image_id", "y", "x", "label"))
+
+
+def _parts(spark, sf_dir):
+    return regions.components(_labels(spark, sf_dir))
+
+
+def component_summary(spark, sf_dir):
+    return regions.summary(_parts(spark, sf_dir))
+
+
+def component_sizes(spark, sf_dir):
+    """How many components of each size an image has."""
+    return regions.summary(_parts(spark, sf_dir)).groupBy("image_id", "area").agg(F.count("*").alias("n"))
+
+
+def label_adjacency(spark, sf_dir):
+    return regions.adjacency(_labels(spark, sf_dir), "label")
+
+
+def adjacency_map(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+    return regions.neighbours(labels, regions.adjacency(labels, "label"), "label").select("image_id", "label", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+def region_contrast(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+    return regions.contrast(regions.summary(labels, "label"), regions.adjacency(labels, "label"), "label")
+
+
+def cheapest_regions(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+    return regions.doomed(regions.contrast(regions.summary(labels, "label"), regions.adjacency(labels, "label"), "label"), 20, 2, "label")
+
+
+def nearest_center(spark, sf_dir):
+    centres = spark.range(8).select(F.col("id").cast("int").alias("k"), F.expr("cast(id * 36 as int)").alias("cr"), F.expr("cast(255 - id * 30 as int)").alias("cg"), F.expr("cast(id * 77 % 256 as int)").alias("cb"))
+    return regions.assign(raster(spark, sf_dir), centres).select("image_id", "y", "x", "label")
+
+
+def perceptual_distance(spark, sf_dir):
+    moved = raster(spark, sf_dir).withColumns({"r2": F.col("g"), "g2": F.col("b"), "b2": F.col("r")})
+    return moved.select("image_id", "y", "x", F.round(pixels.redmean(("r", "g", "b"), ("r2", "g2", "b2")), 6).alias("distance"))
+
+
+def resolve_redirects(spark, sf_dir):
+    chain = spark.range(1000).filter("id > 0").select((F.col("id") % 7).alias("image_id"), F.col("id").alias("label"), F.expr("(id - 7 * (1 + id % 3))").alias("target")).filter("target >= 0 AND target <> label")
+    return regions.resolve(chain)
+
+
+def clear_backdrop(spark, sf_dir):
+    grid = raster(spark, sf_dir)
+    return regions.clear_backdrop(grid, grid.filter("r < 128")).select("image_id", "y", "x", "a")
+
+
+def flat_paint(spark, sf_dir):
+    return paint.flat_fit(_labels(spark, sf_dir), ["image_id", "label"])
+
+
+def plane_slopes(spark, sf_dir):
+    return paint.slopes(_labels(spark, sf_dir), ["image_id", "label"], "g")
+
+
+def gradient_stops(spark, sf_dir):
+    return paint.quantile_stops(_labels(spark, sf_dir), ["image_id", "label"], "x", "b")
+
+
+def stop_interpolation(spark, sf_dir):
+    stops = F.array(*(F.struct(d(o).alias("offset"), d(v).alias("value")) for o, v in ((0.1, 10), (0.4, 200), (0.8, 50))))
+    return raster(spark, sf_dir).select("image_id", "y", "x", F.round(paint.interpolate(stops, F.col("r") / d(255)), 6).alias("value"), F.round(paint.linear_offset(5, 5, 60, 40), 6).alias("along"), F.round(paint.radial_offset(32, 25, 30), 6).alias("out"))
+
+
+def _rings(spark, sf_dir):
+    return raster(spark, sf_dir).filter("x < 12").select("image_id", F.col("y").alias("ring"), F.col("x").alias("seq"), F.col("r").cast("double").alias("x_"), F.col("g").cast("double").alias("y_")).toDF("image_id", "ring", "seq", "x", "y")
+
+
+RING = ["image_id", "ring"]
+
+
+def polygon_area(spark, sf_dir):
+    return geometry.area(_rings(spark, sf_dir), RING)
+
+
+def smooth_polyline(spark, sf_dir):
+    return geometry.smooth(_rings(spark, sf_dir), RING, 2)
+
+
+def turn_angles(spark, sf_dir):
+    return geometry.turns(_rings(spark, sf_dir), RING, 2)
+
+
+def chord_parameters(spark, sf_dir):
+    return geometry.chords(_rings(spark, sf_dir), RING)
+
+
+def drop_repeats(spark, sf_dir):
+    coarse = _rings(spark, sf_dir).withColumns({"x": F.floor(F.col("x") / d(100)).cast("double"), "y": F.floor(F.col("y") / d(100)).cast("double")})
+    return geometry.drop_repeats(coarse, RING)
+
+
+def bezier_points(spark, sf_dir):
+    c = [F.col(n).cast("double") for n in ("r", "g", "b", "a")]
+    return raster(spark, sf_dir).select("image_id", "y", "x", F.round(geometry.bezier(c, F.col("x") / d(64)), 6).alias("point"))
+
+
+def hex_colors(spark, sf_dir):
+    return raster(spark, sf_dir).select("image_id", "y", "x", text.hex_color(*(F.col(c) for c in "rgb")).alias("color"))
+
+
+def path_numbers(spark, sf_dir):
+    value = (F.col("r") - F.col("g")) / d(8)
+    return raster(spark, sf_dir).select("image_id", "y", "x", text.path_number(value).alias("path"), text.attribute_number(value, 2).alias("attribute"))
+
+
+def node_count(spark, sf_dir):
+    document = F.concat(F.lit('<svg><path fill="#fff" d="M'), F.col("r").cast("string"), F.lit(" 2c3 4 5 6 7 8"), F.when(F.col("g") > 100, "c1 1 2 2 3 3").otherwise(""), F.lit('z"/></svg>'))
+    return raster(spark, sf_dir).select("image_id", "y", "x", text.count_nodes(document).cast("int").alias("nodes"))
+
+
+def paint_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    return regions.summary(_labels(spark, sf_dir), "label").select("image_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "label")).alias("z"))
+
+
+def latest_job_state(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    return batch.latest(events, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+def stale_jobs(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    done = events.filter("event_type = 'purchase'").select("user_id").distinct()
+    return batch.stale(events.select("user_id").distinct(), done, ["user_id"])
+
+
+def baseline_compare(spark, sf_dir):
+    scores = regions.summary(_labels(spark, sf_dir), "label").groupBy(F.col("image_id").cast("string").alias("name")).agg(F.round(F.avg("mean_r") / d(255), 6).alias("score"))
+    was = spark.range(0, 12).select(F.col("id").cast("string").alias("name"), d(0.49).alias("score"))
+    return batch.compare(scores, was)
+
+
+def settings_table(spark, sf_dir):
+    return batch.settings_table(spark)
+
+
+QUERIES = (
+    raster_pixels, pixel_projections, rgb_to_lab, stride_sample, color_histogram, local_median, denoise, analyze_content, window_max, sobel_edges, edge_correlation,
+    border_statistics, backdrop_candidates, boundary_mask, dilate_mask, distance_to_outside, components, component_summary, component_sizes, label_adjacency, adjacency_map,
+    region_contrast, cheapest_regions, nearest_center, perceptual_distance, resolve_redirects, clear_backdrop, flat_paint, plane_slopes, gradient_stops, stop_interpolation,
+    polygon_area, smooth_polyline, turn_angles, chord_parameters, drop_repeats, bezier_points, hex_colors, path_numbers, node_count, paint_order, latest_job_state, stale_jobs,
+    baseline_compare, settings_table,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(oracle.SQL)
