@@ -62,3 +62,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which the driver and all executors share."""
     ensure_checkpoints(spark)
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def hash_sample(df: DataFrame, most: int, *columns: str, seed: int = 0, of: DataFrame | None = None) -> DataFrame:
+    """At most most rows of df, those of least hash of the columns.
+
+    Rows are thinned by the hash before the order is taken, at three times the share needed of all rows (of, where counting df itself
+    would read texts), so that what tasks send to the driver does not grow with their number.
+    """
+    n = (df if of is None else of).count()
+    h = F.xxhash64(*(F.col(c) for c in columns), F.lit(seed))
+    if n > 3 * most:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 3 * most / n))
+    return df.withColumn("__h", h).orderBy(F.pmod("__h", F.lit(1 << 40)), *columns).limit(most).drop("__h")

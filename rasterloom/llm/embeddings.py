@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hash_sample
 from .components import connected
 
 MIN_COSINE = 0.98
@@ -100,8 +100,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = MIN_COSINE, described: i
     usable = F.col("label").isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(usable, F.transform(v, lambda x: x + F.lit(0.0))))  # -0.0 and 0.0 are equal
     classes = cut(rows.filter("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("class", F.xxhash64("label", "v")).withColumn("dim", F.size("v")))
-    sample = classes.select("v", "dim").orderBy(F.xxhash64("v", F.lit(1))).limit(SAMPLE_ROWS).collect()
     total = classes.count()
+    sample = sorted(hash_sample(classes.select("class", "v", "dim"), SAMPLE_ROWS, "class", seed=1, of=classes).collect(), key=lambda r: r["class"])
     pivots: dict[int, np.ndarray] = {}
     for d in {r.dim for r in sample}:
         pivots[d] = choose_pivots(np.array([r.v for r in sample if r.dim == d]), int(min(MOST_PIVOTS, max(32, 2 * total**0.5))))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, hash_sample
 from .lexical import Words
 
 UNKNOWN = "und"
@@ -210,8 +210,8 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 def training_rows(docs: DataFrame, most: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, parts: int = 4, held: int = 2) -> list[tuple[str, str]]:
     """At most most labelled texts of at most chars characters, by a hash of doc_id, outside the held-out part."""
-    use = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= chars) & (crc_bucket("doc_id", parts) != held)).select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    return [(r.text, r.lang) for r in use.orderBy("h", "doc_id", "text").limit(most).collect()]
+    use = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= chars) & (crc_bucket("doc_id", parts) != held)).select("doc_id", "text", "lang")
+    return [(r.text, r.lang) for r in sorted(hash_sample(use, most, "doc_id", of=docs).collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64) if isinstance(r.doc_id, int) else 0, r.text))]
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

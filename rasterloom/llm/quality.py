@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 WHITE = " \t\n\x0b\x0c\r"
 WINDOW = 5
 MIN_WORDS, MOST_REPEAT = 10, 20
@@ -183,7 +185,7 @@ def learn(rows: Sequence[Row], bins: int = BINS) -> DecisionList:
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, label: str = "quality") -> list[Row]:
     """Statistics of at most most labelled texts, chosen and ordered by a hash of doc_id, with whether the label is 0."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__label"))
-    few = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # at most most rows of two numbers
+    few = F.broadcast(hash_sample(chosen, most, "doc_id"))  # at most most rows of two numbers
     met = statistics(docs.select("doc_id", "text").join(few, "doc_id"), keep=["__label"])
     got = met.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("__label") == 0).alias("bad"), F.struct(*(c.alias(n) for n, c in features().items())).alias("f")).collect()
     return [(r.f.asDict(), r.bad) for r in sorted(got, key=lambda r: (r.h, r.doc_id))[:most]]

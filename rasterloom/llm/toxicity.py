@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, hash_sample
 from .lexical import Words
 
 ORDERS, BITS, WHOLE_BITS = (3, 4, 5), 17, 18
@@ -175,14 +175,14 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, lab
     counted = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
     if not counted:
         return Model.empty()
-    order = F.xxhash64("doc_id", F.lit(11))
-    pick = lambda df, n: df.orderBy(order, "doc_id").limit(n)
+    pick = lambda df, n: hash_sample(df, n, "doc_id", seed=11)
     offset = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
     chosen = pick(known.filter((F.col("y") == 1) & ~offset), TOXIC_ROWS).withColumn("use", F.lit("toxic"))
     chosen = F.broadcast(chosen.unionByName(pick(known.filter(offset), OFFSET_ROWS).withColumn("use", F.lit("offset"))))  # at most as many rows as the two limits
     texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
     met = sorted(((r.use, r.doc_id, r.text, r.y) for r in texts.join(chosen, "doc_id").collect()), key=lambda r: r[:3])
-    loose = sorted((r.h, r.text) for r in texts.filter("text <> ''").filter(crc_bucket("doc_id", parts) != held).select(F.xxhash64("doc_id", F.lit(13)).alias("h"), "text").orderBy("h", "text").limit(UNLABELLED_ROWS).collect())
+    loose = hash_sample(texts.filter(F.col("text") != "").filter(crc_bucket("doc_id", parts) != held), UNLABELLED_ROWS, "doc_id", seed=13, of=docs).collect()
+    loose = sorted((r.doc_id, r.text) for r in loose)
     model = train([t for use, _, t, _ in met if use == "toxic"], [t for _, t in loose], counted)
     rest = [(t, y) for use, _, t, y in met if use == "offset"]
     return calibrate(model, [t for t, _ in rest], [y for _, y in rest])

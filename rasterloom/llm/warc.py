@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 4_000_000
@@ -46,8 +48,9 @@ def digest(payload: bytes) -> str:
 
 def train_dictionary(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> bytes:
     """A dictionary from the starts of a bounded, hash-chosen sample of payloads; empty where too few are there to train on."""
-    chosen = pages.select(F.substring(F.col(payload), 1, SAMPLE_CHARS).alias("p"), F.xxhash64(page_id).alias("h")).filter("p <> ''").orderBy("h", "p").limit(SAMPLE_ROWS)
-    samples = [r.p.encode() for r in chosen.collect()]
+    starts = pages.select(F.substring(F.col(payload), 1, SAMPLE_CHARS).alias("p"), F.col(page_id).alias("id"))
+    chosen = hash_sample(starts.filter("p <> ''"), SAMPLE_ROWS, "id", of=pages)
+    samples = sorted(r.p.encode() for r in chosen.collect())
     if len(samples) < 16:
         return b""
     try:
