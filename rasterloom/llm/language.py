@@ -190,7 +190,7 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     held = block = 0
     while block < len(texts):
         end, size = block, 0
-        while end < len(texts) and (end == block or size + len(texts[end]) <= 1_000_000):
+        while end < len(texts) and (end == block or size + len(texts[end]) <= 400_000):
             size += len(texts[end])
             end += 1
         if model.langs:

@@ -16,16 +16,17 @@ class ChunkEncoder:
 
     The pre-tokenizer starts a new piece at a single space that stands between two non-spaces, so such a text can be
     cut there and its chunks encoded apart; chunks repeat far more often than texts. Other texts are encoded whole.
-    The cache is emptied when it holds most_chunks chunks, so that memory stays bounded.
+    When the cache holds most_chunks chunks it becomes the old one and an empty one takes its place, into which what is
+    still in use is carried over; so memory stays bounded and common chunks stay known.
     """
 
-    def __init__(self, path: str, most_chunks: int = 600_000):
+    def __init__(self, path: str, most_chunks: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most_chunks, {}
+        self.most, self.known, self.old = most_chunks, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -33,10 +34,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         cut = [None if _UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        new = list(set().union(*(c for c in cut if c)).difference(known))
+        new = set().union(*(c for c in cut if c)).difference(known)
+        if old:
+            known.update((c, old[c]) for c in new.intersection(old))
+            new = new.difference(known)
+        new = list(new)
         known.update(zip(new, self._whole(new), strict=True))
         rest = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         get = known.__getitem__

@@ -138,7 +138,7 @@ def raw_scores(model: Model, texts: list[str]) -> np.ndarray:
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= 1_000_000):
+        while end < len(texts) and (end == at or size + len(texts[end]) <= 400_000):
             size += len(texts[end])
             end += 1
         words = Words(texts[at:end])
