@@ -52,27 +52,27 @@ def source_targets(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repe
 
 
 def with_copies(docs: DataFrame, targets: DataFrame, seed: int = SEED, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs with the struct __mix (source_size, target, copies). The targets travel to the documents, never the other way, if they are few."""
-    few = targets.select(F.col("source").alias("__mix_source"), F.struct("source_size", "target", "rate").alias("__mix"))
-    whole = F.floor("__mix.rate")
-    copies = whole + F.when(unit_hash(seed, F.col(doc_id)) < F.col("__mix.rate") - whole, 1).otherwise(0)
-    joined = docs.join(broadcast_if_small(few), F.col(source).eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
-    return joined.withColumn("__mix", F.struct("__mix.source_size", "__mix.target", copies.cast("long").alias("copies")))
+    """The struct row (all columns of docs) and the struct mix (source_size, target, copies). The targets travel to the documents, never the other way, if they are few."""
+    few = targets.select("source", F.struct("source_size", "target", "rate").alias("mix"))
+    whole = F.floor("mix.rate")
+    copies = whole + F.when(unit_hash(seed, F.col("id")) < F.col("mix.rate") - whole, 1).otherwise(0)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("of"))
+    joined = rows.join(broadcast_if_small(few), F.col("of").eqNullSafe(F.col("source")), "left")
+    return joined.select("row", F.struct("mix.source_size", "mix.target", copies.cast("long").alias("copies")).alias("mix"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = MAX_REPEATS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed collection: every column of docs, each document as often as the mix takes it."""
     targets = cut(source_targets(docs, weights, max_repeats, text, source))
-    times = F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int"))).alias("__mix_copy")
-    drawn = with_copies(docs, targets, seed, doc_id, source).filter("__mix.copies > 0")
-    return drawn.select(*docs.columns, times).drop("__mix_copy")
+    drawn = with_copies(docs, targets, seed, doc_id, source).filter("mix.copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).select("row.*")
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, taken."""
     targets = cut(source_targets(docs, weights, max_repeats))
     sized = docs.select("doc_id", "source", count_words("text").alias("size"))
-    return with_copies(sized, targets, seed).select("doc_id", "size", "__mix.source_size", "__mix.target", (F.col("size") * F.col("__mix.copies")).alias("taken"))
+    return with_copies(sized, targets, seed).select("row.doc_id", "row.size", "mix.source_size", "mix.target", (F.col("row.size") * F.col("mix.copies")).alias("taken"))
 
 
 ORACLE_SQL = f"""

@@ -201,7 +201,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     rows = marked.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     grouped = rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min_by(F.struct("doc_id", "text_hash", "n"), order).alias("kept"))
-    kept = grouped.select(F.col("kept.doc_id").alias("__k"), F.col("kept.text_hash").alias("__h"), F.col("kept.n").alias("__n"))
-    met = docs.withColumn("__text_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__k")) & (F.col("__text_hash") == F.col("__h")))
-    single = met.filter("__n = 1").select(docs.columns)
-    return single.unionByName(met.filter("__n > 1").dropDuplicates(["__k", "__h"]).select(docs.columns))
+    kept = grouped.select(F.col("kept.doc_id").alias("k"), F.col("kept.text_hash").alias("h"), F.col("kept.n").alias("n"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    met = whole.join(kept, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
+    return met.filter("n = 1").select("row.*").unionByName(met.filter("n > 1").dropDuplicates(["k", "h"]).select("row.*"))
