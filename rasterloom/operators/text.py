@@ -46,5 +46,5 @@ def count_nodes(document: Column) -> Column:
 
 def destination(path: Column, folder: str | None = None) -> Column:
     """The name of an image's vector file: beside it, or in folder."""
-    svg = F.regexp_replace(path, r"(\.[^./]*)?$", ".svg")
+    svg = F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".svg"))
     return svg if folder is None else F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_extract(svg, r"([^/]+)$", 1))
