@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, batch, geometry, neighbourhood, paint, pixels, regions, text
 from ..operators.pixels import d
+from ..sources import rasters
 from ..sources.rasters import from_embeddings
-from . import oracle
+from . import oracle, trace
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,12 +240,21 @@ def settings_table(spark, sf_dir):
     return batch.settings_table(spark)
 
 
+def trace_documents(spark, sf_dir):
+    """A vector document for every raster; sequential within an image, so without SQL."""
+    return trace.trace(raster(spark, sf_dir), "poster")
+
+
+def trace_drawn(spark, sf_dir):
+    return trace.trace(rasters.procedural(spark, 64))
+
+
 QUERIES = (
     raster_pixels, pixel_projections, rgb_to_lab, stride_sample, color_histogram, local_median, denoise, analyze_content, window_max, sobel_edges, edge_correlation,
     border_statistics, backdrop_candidates, boundary_mask, dilate_mask, distance_to_outside, components, component_summary, component_sizes, label_adjacency, adjacency_map,
     region_contrast, cheapest_regions, nearest_center, perceptual_distance, resolve_redirects, clear_backdrop, flat_paint, plane_slopes, gradient_stops, stop_interpolation,
     polygon_area, smooth_polyline, turn_angles, chord_parameters, drop_repeats, bezier_points, hex_colors, path_numbers, node_count, paint_order, latest_job_state, stale_jobs,
-    baseline_compare, settings_table,
+    baseline_compare, settings_table, trace_documents, trace_drawn,
 )
 
 
