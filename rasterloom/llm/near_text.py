@@ -81,25 +81,31 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _search(nodes: np.ndarray, signs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links (a, b, sure) within one group: a search takes surely linked ones out; the doubtful are named between what it does not join."""
-    left, part = np.arange(len(nodes)), np.arange(len(nodes))
-    doubtful = []
-    while len(left) > 1:
-        root, left, queue = left[0], left[1:], [left[0]]
-        while queue and len(left):
-            q = queue.pop()
-            near = _alike(signs[left], signs[q])
-            sure, maybe = near >= SURE, (near >= UNLIKE) & (near < SURE)
-            if maybe.any():
-                doubtful.append((np.full(int(maybe.sum()), q), left[maybe]))
-            if sure.any():
-                part[left[sure]] = root
-                yield np.full(int(sure.sum()), nodes[root]), nodes[left[sure]], True
-                queue += left[sure].tolist()
-                left = left[~sure]
-    for a, b in doubtful:
-        apart = part[a] != part[b]
-        yield nodes[a[apart]], nodes[b[apart]], False
+    """Links (a, b, sure) within one group, fewer than it has members: a search takes surely linked ones out, and what it does
+    not reach is joined by the doubtful link of closest agreement, so that the links are a greatest spanning forest. What is
+    linked above any agreement is linked in such a forest too."""
+    if not len(nodes):
+        return
+    left, queue = np.arange(1, len(nodes)), [0]
+    best, source = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64)
+    while len(left):
+        if not queue:
+            k = int(best[left].argmax())
+            q = int(left[k])
+            left = np.delete(left, k)
+            if best[q] >= UNLIKE:
+                yield nodes[source[q] : source[q] + 1], nodes[q : q + 1], False
+            queue.append(q)
+            continue
+        q = queue.pop()
+        near = _alike(signs[left], signs[q])
+        sure = near >= SURE
+        if sure.any():
+            yield np.full(int(sure.sum()), nodes[q]), nodes[left[sure]], True
+            queue += left[sure].tolist()
+            left, near = left[~sure], near[~sure]
+        closer = near > best[left]
+        best[left[closer]], source[left[closer]] = near[closer], q
 
 
 def links_in(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, small: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
