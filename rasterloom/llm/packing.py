@@ -28,12 +28,12 @@ WINDOW_ROWS = 50_000
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and with keep_ids the token ids of each piece."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text", cached_chunks: int = 150_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and with keep_ids the token ids of each piece. cached_chunks trades a worker's memory, some 500 bytes each, for time."""
     end = int(end_id).to_bytes(4, "little")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cached_chunks).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
@@ -113,6 +113,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False, cached_chunks: int = 150_000) -> DataFrame:
     """Every piece of every document with its sequence and place in it."""
-    return pack(cut(pieces(docs, tokenizer, capacity, end_id, keep_ids)), capacity)
+    return pack(cut(pieces(docs, tokenizer, capacity, end_id, keep_ids, cached_chunks=cached_chunks)), capacity)

@@ -39,7 +39,7 @@ def op4_url_filters(spark, sf_dir):
 
 
 def op5_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), cached_chunks=450_000)
 
 
 def op6_simhash(spark, sf_dir):

@@ -49,6 +49,6 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, most_chunks: int = 150_000) -> ChunkEncoder:
     """One encoder for each worker process."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, most_chunks)
