@@ -25,6 +25,8 @@ from .tokens import encoder
 CAPACITY = 2048
 #: Rows in one window of ranks, about.
 WINDOW_ROWS = 50_000
+#: Bytes of text encoded at once, about.
+BLOCK_BYTES = 6_000_000
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,8 +37,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, cached_chunks).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            step = max(1, batch.num_rows * BLOCK_BYTES // max(1, batch.column(1).nbytes))
+            for at in range(0, batch.num_rows, step):
+                rows = batch.slice(at, step)
                 of, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "ids")}
                 for k, ids in enumerate(encode([t or "" for t in rows.column(1).to_pylist()])):
                     ids += end

@@ -185,6 +185,16 @@ def test_chunks_do_not_change_ids():
         assert np.frombuffer(c.encode([t])[0], "<u4").tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_tokenizer_on_mixed_batches(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(tokens, "JOINT_WORDS", 7)
+    parts = [" ", "  ", "\t", "\n", " ", "a", "Bc", "é", "1", "!", "\0", "<|endoftext|>", "'s", "漢", "\r\n", "\x1c", "\u0085", "\u3000"]
+    texts = ["".join(parts[int(k)] for k in np.random.default_rng(i).integers(0, len(parts), i % 13)) for i in range(4000)]
+    c = tokens.ChunkEncoder(registry.byte_bpe(), 200)
+    assert [x for i in range(0, len(texts), 97) for x in c.encode(texts[i : i + 97])] == c._whole(texts)
+    assert c.encode([]) == []
+
+
 def test_golay_indices_meet_within_two_bits():
     every = np.arange(1 << 11)  # a word of each coset, since a codeword added to both words changes nothing
     moves = [0] + [1 << a for a in range(23)] + [1 << a | 1 << b for a, b in combinations(range(23), 2)]
