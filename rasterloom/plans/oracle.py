@@ -37,6 +37,40 @@ BORDER = """sz AS (SELECT image_id, max(y) AS h, max(x) AS w FROM px GROUP BY im
   SELECT px.* FROM px JOIN sz USING (image_id) WHERE y = 0 UNION ALL SELECT px.* FROM px JOIN sz USING (image_id) WHERE y = h
   UNION ALL SELECT px.* FROM px JOIN sz USING (image_id) WHERE x = 0 UNION ALL SELECT px.* FROM px JOIN sz USING (image_id) WHERE x = w),
 mid AS (SELECT image_id, CAST(quantile_cont(r, 0.5) AS DOUBLE) AS mr, CAST(quantile_cont(g, 0.5) AS DOUBLE) AS mg, CAST(quantile_cont(b, 0.5) AS DOUBLE) AS mb FROM ed GROUP BY image_id)"""
+KERNELS = {
+    "lanczos": (3, "CASE WHEN t = 0 THEN 1.0 WHEN abs(t) >= 3 THEN 0.0 ELSE 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t) ** 2 END"),
+    "bilinear": (1, "greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(t))"),
+    "bicubic": (2, "CASE WHEN abs(t) < 1 THEN 1.5::DOUBLE * abs(t) ** 3 - 2.5::DOUBLE * t ** 2 + 1 WHEN abs(t) < 2 THEN -0.5::DOUBLE * abs(t) ** 3 + 2.5::DOUBLE * t ** 2 - 4 * abs(t) + 2 ELSE 0.0::DOUBLE END"),
+}
+
+
+def _weights(name: str, n_in: int, n_out: int, method: str) -> str:
+    reach, kernel = KERNELS[method]
+    scale, wide = n_in / n_out, max(1, n_in / n_out)
+    return f"""{name} AS (SELECT s, o, k / sum(k) OVER (PARTITION BY o) AS w FROM (SELECT s, o, CAST({kernel} AS DOUBLE) AS k FROM (
+  SELECT CAST(s AS INT) AS s, CAST(o AS INT) AS o, (s + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {scale}::DOUBLE) / {wide}::DOUBLE AS t FROM range({n_in}) a(s), range({n_out}) b(o)
+  WHERE s >= floor((o + 0.5::DOUBLE) * {scale}::DOUBLE - {reach * wide} + 0.5::DOUBLE) AND s < floor((o + 0.5::DOUBLE) * {scale}::DOUBLE + {reach * wide} + 0.5::DOUBLE))))"""
+
+
+def resized(width: int, height: int, method: str) -> str:
+    """The rasters of 64 x 50 pixels in another size."""
+    level = lambda c: f"CAST(least(255, greatest(0, floor(round(sum({c} * w), 6) + 0.5::DOUBLE))) AS INT) AS {c}"
+    levels = ", ".join(map(level, "rgba"))
+    pre = ", ".join(f"floor({c} * a / 255.0::DOUBLE + 0.5::DOUBLE) AS {c}" for c in "rgb")
+    post = ", ".join(f"CASE WHEN a = 0 THEN 0 ELSE CAST(least(255, ({c} * 255) // greatest(a, 1)) AS INT) END AS {c}" for c in "rgb")
+    return q(_weights("wx", 64, width, method), _weights("wy", 50, height, method), f"pm AS (SELECT image_id, y, x, {pre}, a FROM px)",
+        f"ax AS (SELECT image_id, y, o AS x, {levels} FROM pm JOIN wx ON s = x GROUP BY image_id, y, o)",
+        f"dn AS (SELECT image_id, o AS y, x, {levels} FROM ax JOIN wy ON s = y GROUP BY image_id, o, x)", select=f"SELECT image_id, y, x, {post}, a FROM dn")
+
+
+def ssim() -> str:
+    """Every raster beside itself in eight levels a channel: moments of the windows, then the similarity."""
+    long = " UNION ALL ".join(f"SELECT image_id, '{c}' AS c, y, x, {c} * (a / 255.0::DOUBLE) AS p, ({c} // 32 * 32 + 16) * (a / 255.0::DOUBLE) AS q FROM px" for c in "rgb")
+    moments = "count(*) AS n, avg(q.p) AS mp, avg(q.q) AS mq, var_samp(q.p) AS vp, var_samp(q.q) AS vq, covar_samp(q.p, q.q) AS pq"
+    return q(f"lg AS ({long})", f"mo AS (SELECT m.image_id, m.c, m.y, m.x, {moments} FROM lg m, range(-3, 4) i(dy), range(-3, 4) j(dx) JOIN lg q ON q.image_id = m.image_id AND q.c = m.c AND q.y = m.y + dy AND q.x = m.x + dx GROUP BY ALL HAVING n = 49)",
+        select="SELECT image_id, round(avg((2 * mp * mq + 6.5025::DOUBLE) * (2 * pq + 58.5225::DOUBLE) / ((mp * mp + mq * mq + 6.5025::DOUBLE) * (vp + vq + 58.5225::DOUBLE))), 6) AS ssim FROM mo GROUP BY image_id")
+
+
 SHIFTS = "(VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx)"
 ADJACENT = f"""ad AS (SELECT DISTINCT p.image_id, least(p.label, o.label) AS lo, greatest(p.label, o.label) AS hi
   FROM lb p, {SHIFTS} JOIN lb o ON o.image_id = p.image_id AND o.y = p.y + dy AND o.x = p.x + dx WHERE p.label <> o.label)"""
@@ -148,5 +182,9 @@ SELECT image_id, label, min(target) AS target FROM fo GROUP BY ALL""",
     "latest_job_state": "SELECT user_id, arg_max(event_id, row(ts, event_id)) AS event_id, arg_max(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "stale_jobs": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)",
     "baseline_compare": q(LABELS, summary("lb", "label"), "sc AS (SELECT CAST(image_id AS VARCHAR) AS name, round(avg(mean_r) / 255.0::DOUBLE, 6) AS score FROM st GROUP BY image_id)", "ws AS (SELECT CAST(i AS VARCHAR) AS name, 0.49::DOUBLE AS was FROM range(12) t(i))", select="SELECT name, was, score, CASE WHEN score IS NULL THEN 'missing' ELSE 'lower' END AS complaint FROM ws LEFT JOIN sc USING (name) WHERE score IS NULL OR score < was - 0.01::DOUBLE"),
+    "resize_lanczos": resized(32, 25, "lanczos"),
+    "supersample_bilinear": resized(128, 100, "bilinear"),
+    "supersample_bicubic": resized(128, 100, "bicubic"),
+    "structural_similarity": ssim(),
     "settings_table": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"'{p}'", f"'{t}'", *(_literal(settings(p, t)[n]) for n in _SETTINGS)]) + ")" for p in sorted(PRESETS) for t in sorted(TIERS)) + f") s(preset, quality, {', '.join(_SETTINGS)})",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, batch, geometry, neighbourhood, paint, pixels, regions, text
+from ..operators import analysis, batch, geometry, neighbourhood, paint, pixels, regions, resample, score, text
 from ..operators.pixels import d
 from ..sources import rasters
 from ..sources.rasters import from_embeddings
@@ -240,6 +240,25 @@ def settings_table(spark, sf_dir):
     return batch.settings_table(spark)
 
 
+def resize_lanczos(spark, sf_dir):
+    return resample.cap_size(raster(spark, sf_dir), 32)
+
+
+def supersample_bilinear(spark, sf_dir):
+    return resample.supersample(raster(spark, sf_dir), 2, "bilinear")
+
+
+def supersample_bicubic(spark, sf_dir):
+    return resample.supersample(raster(spark, sf_dir), 2, "bicubic")
+
+
+def structural_similarity(spark, sf_dir):
+    """Every raster beside itself in eight levels a channel."""
+    whole = raster(spark, sf_dir)
+    coarse = whole.select("image_id", "y", "x", *(F.expr(f"{c} div 32 * 32 + 16").alias(c) for c in "rgb"), "a")
+    return score.ssim(whole, coarse).select("image_id", F.round("ssim", 6).alias("ssim"))
+
+
 def trace_documents(spark, sf_dir):
     """A vector document for every raster; sequential within an image, so without SQL."""
     return trace.trace(raster(spark, sf_dir), "poster")
@@ -254,7 +273,7 @@ QUERIES = (
     border_statistics, backdrop_candidates, boundary_mask, dilate_mask, distance_to_outside, components, component_summary, component_sizes, label_adjacency, adjacency_map,
     region_contrast, cheapest_regions, nearest_center, perceptual_distance, resolve_redirects, clear_backdrop, flat_paint, plane_slopes, gradient_stops, stop_interpolation,
     polygon_area, smooth_polyline, turn_angles, chord_parameters, drop_repeats, bezier_points, hex_colors, path_numbers, node_count, paint_order, latest_job_state, stale_jobs,
-    baseline_compare, settings_table, trace_documents, trace_drawn,
+    baseline_compare, settings_table, resize_lanczos, supersample_bilinear, supersample_bicubic, structural_similarity, trace_documents, trace_drawn,
 )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions.kernels import label4
-from rasterloom.operators import analysis, batch, regions, text
+from rasterloom.operators import analysis, batch, regions, resample, score, text
 from rasterloom.sources import rasters
 
 
@@ -77,3 +77,26 @@ def test_texts(spark):
     assert [r[3] for r in got] == ["out/b.svg", "out/c.svg", "out/z.svg"]
     joined = spark.range(1).select(text.join_numbers(F.array(F.lit("1"), F.lit("-2"), F.lit(".5"), F.lit(".5")))).first()[0]
     assert joined == "1-2 .5.5"
+
+
+def test_resampling_keeps_flat_images_and_small_ones(spark):
+    flat = spark.range(40).select(F.lit(1).alias("image_id"), F.expr("cast(id div 8 as int)").alias("y"), F.expr("cast(id % 8 as int)").alias("x"), F.lit(200).alias("r"), F.lit(7).alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a"))
+    for method in ("nearest", "bilinear", "bicubic", "lanczos", "unknown"):
+        small, large = resample.cap_size(flat, 4, method).collect(), resample.supersample(flat, 3, method).collect()
+        assert len(small) == 4 * 2 and len(large) == 24 * 15  # 2.5 rows round to the even 2
+        assert {(r.r, r.g, r.b, r.a) for r in small + large} == {(200, 7, 0, 255)}
+    assert sorted(resample.cap_size(flat, 8).collect()) == sorted(flat.collect()) == sorted(resample.supersample(flat, 1).collect())
+    assert resample.cap_size(flat.limit(0), 4).count() == 0
+
+
+def test_nearest_supersampling_repeats_pixels(spark):
+    grid = spark.range(12).select(F.lit(1).alias("image_id"), F.expr("cast(id div 4 as int)").alias("y"), F.expr("cast(id % 4 as int)").alias("x"), *(F.col("id").cast("int").alias(c) for c in "rgb"), F.lit(255).alias("a"))
+    assert all(r.r == 4 * (r.y // 2) + r.x // 2 for r in resample.supersample(grid, 2, "nearest").collect())
+
+
+def test_a_raster_is_wholly_like_itself(spark):
+    drawn = rasters.procedural(spark, 16)
+    assert {round(r.ssim, 9) for r in score.ssim(drawn, drawn).collect()} == {1.0}
+    other = score.ssim(drawn, drawn.withColumn("r", 255 - F.col("r"))).collect()
+    assert all(r.ssim < 1 for r in other)
+    assert {r.ssim for r in score.ssim(drawn.filter("x < 6"), drawn.filter("x < 6")).collect()} == {None}
