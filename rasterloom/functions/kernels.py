@@ -110,7 +110,7 @@ def absorb_small(parts: np.ndarray, colors: np.ndarray, least: int) -> np.ndarra
 
 
 def contours(mask: np.ndarray) -> list[np.ndarray]:
-    """Closed rings (x, y) half way between the mask and what is outside, the mask on the left. Where two of its pixels meet only at a corner the rings keep them apart."""
+    """Closed rings (x, y) half way between the mask and what is outside, the mask on the left; a pixel spans from its number to the next. Where two of its pixels meet only at a corner the rings keep them apart."""
     m = np.pad(mask.astype(bool), 1)
     w = m.shape[1]
     a, b, c, d = m[:-1, :-1], m[:-1, 1:], m[1:, 1:], m[1:, :-1]

@@ -9,7 +9,7 @@ from ..operators import analysis, batch, geometry, neighbourhood, paint, pixels,
 from ..operators.pixels import d
 from ..sources import rasters
 from ..sources.rasters import from_embeddings
-from . import oracle, trace
+from . import oracle, scoring, trace
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,12 +268,17 @@ def trace_drawn(spark, sf_dir):
     return trace.trace(rasters.procedural(spark, 64))
 
 
+def trace_scores(spark, sf_dir):
+    """How well the documents of the drawn rasters match them; without SQL, since tracing has none."""
+    return scoring.scores(rasters.procedural(spark, 64), trace_drawn(spark, sf_dir))
+
+
 QUERIES = (
     raster_pixels, pixel_projections, rgb_to_lab, stride_sample, color_histogram, local_median, denoise, analyze_content, window_max, sobel_edges, edge_correlation,
     border_statistics, backdrop_candidates, boundary_mask, dilate_mask, distance_to_outside, components, component_summary, component_sizes, label_adjacency, adjacency_map,
     region_contrast, cheapest_regions, nearest_center, perceptual_distance, resolve_redirects, clear_backdrop, flat_paint, plane_slopes, gradient_stops, stop_interpolation,
     polygon_area, smooth_polyline, turn_angles, chord_parameters, drop_repeats, bezier_points, hex_colors, path_numbers, node_count, paint_order, latest_job_state, stale_jobs,
-    baseline_compare, settings_table, resize_lanczos, supersample_bilinear, supersample_bicubic, structural_similarity, trace_documents, trace_drawn,
+    baseline_compare, settings_table, resize_lanczos, supersample_bilinear, supersample_bicubic, structural_similarity, trace_documents, trace_drawn, trace_scores,
 )
 
 

@@ -34,10 +34,10 @@ def trace_image(r: np.ndarray, options: dict, scale: float = 1.0) -> tuple[str,
         mask = parts == numbers[k]
         data = ""
         for ring in kernels.contours(mask):
-            x, y = (ring + 0.5).T
+            x, y = ring.T
             if abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2 < options["min_path_area"]:
                 continue
-            fitted = curves.fit_closed(ring + 0.5, options["curve_tolerance"], 3, options["corner_angle"], options["smooth_passes"])
+            fitted = curves.fit_closed(ring, options["curve_tolerance"], 3, options["corner_angle"], options["smooth_passes"])
             segments += len(fitted)
             data += curves.path_data(fitted, options["precision"])
         if data:
