@@ -32,6 +32,8 @@ PLACES, ANCHORS = 128, 8
 #: Agreement of signatures from which a pair is taken, and below which it is not; about two and three deviations from 0.8.
 SURE, UNLIKE = 0.87, 0.69
 KEY_ROWS = 16_384
+#: Members of a family in a chunk; a task of the last search holds two chunks.
+CHUNK = 256
 _ODD = np.random.default_rng(2_024).integers(1, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(2_025).integers(0, 1 << 62, PLACES, dtype=np.uint64)
 
@@ -82,8 +84,8 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _search(nodes: np.ndarray, signs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Links (a, b, sure) within one group, fewer than it has members: a search takes surely linked ones out, and what it does
-    not reach is joined by the doubtful link of closest agreement, so that the links are a greatest spanning forest. What is
-    linked above any agreement is linked in such a forest too."""
+    not reach is joined by the doubtful link of closest agreement, so that the links are a greatest spanning forest. They join
+    all that candidates join, but say nothing of which candidates are alike: see the search in families."""
     if not len(nodes):
         return
     left, queue = np.arange(1, len(nodes)), [0]
@@ -185,6 +187,64 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(judged, "a long, b long")
 
 
+def search_texts(nodes: np.ndarray, parts: np.ndarray, texts: list[bytes], similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) between texts that are similar enough, until no two such texts are left apart; those of one part are together already."""
+    sets = [np.unique(shingles(t.lower().split())) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.split(ids, ends[:-1])
+    mark = np.zeros(len(known), bool)
+    left, queue = np.arange(len(nodes)), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        q = queue.pop()
+        own = parts[left] == parts[q]
+        queue += left[own].tolist()
+        left = left[~own]
+        near = left[np.minimum(sizes[left], sizes[q]) >= similarity * np.maximum(sizes[left], sizes[q]) - 1e-6]
+        if not len(near):
+            continue
+        mark[of[q]] = True
+        both = np.array([np.count_nonzero(mark[of[m]]) for m in near])
+        mark[of[q]] = False
+        hit = near[both >= similarity * (sizes[near] + sizes[q] - both)]
+        yield np.full(len(hit), nodes[q]), nodes[hit]
+        queue += hit.tolist()
+        left = np.setdiff1d(left, hit, assume_unique=True)
+
+
+def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links between similar texts of families (node, family, part) of several parts. Every two members of a family meet, by pairs of
+    chunks, so that which are compared depends neither on the size of a group nor on what its forest of candidates was."""
+    mixed = members.groupBy("family").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).filter("least <> most")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != own) | (F.col("chunks") == 1))
+    keys = F.transform(others, lambda j: F.xxhash64("family", F.least(own, j), F.greatest(own, j)))
+    dealt = members.join(mixed, "family").join(texts, "node").select(F.explode(keys).alias("key"), "node", "part", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nodes, parts, of = zip(*held, strict=True)
+            for a, b in search_texts(np.array(nodes), np.array(parts), list(of), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key and held:
+                    yield from told()
+                    held = []
+                key = k
+                held.append(row)
+        if held:
+            yield from told()
+
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' description, and (node, root) of the classes whose component has a smaller node. docs is read twice."""
     marked = cut(describe(docs))
@@ -193,12 +253,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     sure = links.filter("sure").select("a", "b")
     parts = connected(sure)
     root = lambda n: parts.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-    open_ = links.filter("NOT sure").select("a", "b").unionByName(fingerprint_links(classes).select("a", "b")).distinct()
-    open_ = cut(open_.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    asked = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("k"), F.col("row.text_hash").alias("h"))
+    named = cut(links.select("a", "b").unionByName(fingerprint_links(classes).select("a", "b")).distinct())
+    open_ = cut(named.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    families = connected(named).withColumnRenamed("root", "family")
+    every = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = every.join(classes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("k"), F.col("row.text_hash").alias("h"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = cut(keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"]))
-    return marked, connected(sure.unionByName(similar(open_, texts, similarity)))
+    held = cut(sure.unionByName(similar(open_, texts, similarity)))
+    joined = connected(held).withColumnRenamed("root", "part")
+    members = cut(every.join(families, "node", "left").join(joined, "node", "left").select("node", F.coalesce("family", "node").alias("family"), F.coalesce("part", "node").alias("part")))
+    return marked, connected(held.unionByName(family_links(members, texts, similarity)))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -263,6 +263,53 @@ def test_near_text_finds_similar_texts_and_leaves_others(spark, empty, docs):
     assert near_text.keep_one(empty).count() == 0
 
 
+def graded(rng, n, families=3):
+    """Texts of which each is a base text with a share of its words changed, so that many pairs lie about 0.8."""
+    out = []
+    for f in range(families):
+        base = [f"f{f}w{k}" for k in rng.integers(0, 5000, 300)]
+        for _ in range(n):
+            copy = list(base)
+            for at in rng.integers(0, 300, int(rng.integers(3, 12))):
+                copy[at] = f"c{rng.integers(1 << 40)}"
+            out.append(" ".join(copy))
+    return out
+
+
+def brute_groups(texts):
+    """The kept rows where every two texts are compared, and how similar they are."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+def test_near_text_large_groups_against_brute_force(spark):
+    """Over 16 graded variants in a group: a candidate that is rejected must not hide one that is not."""
+    texts = graded(np.random.default_rng(31), 60)
+    kept = {r.doc_id for r in near_text.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == brute_groups(texts)
+
+
+def test_family_chunks_meet(spark):
+    texts = graded(np.random.default_rng(32), 40)
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    members = df.selectExpr("node", "node div 40 AS family", "node AS part")
+    linked = near_text.connected(near_text.family_links(members, df, chunk=7))
+    assert set(range(len(texts))) - {r.node for r in linked.collect()} == brute_groups(texts)
+
+
 def test_licenses(docs, empty):
     got = {str(r.doc_id): r for r in licenses.scan(docs).collect()}
     assert got["8"].base_labels == "mit" and got["8"].n_base == 1 and got["8"].first_word == 1 and got["8"].score == 1
