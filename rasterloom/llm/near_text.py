@@ -3,8 +3,9 @@
 Fingerprints of at most four differing bits find only a part of the texts whose word shingles are 0.8 alike: at that
 similarity the 64 bits differ in about ten places. So each text also has anchors, the least shingle under each of
 several hash orders, and texts that share an anchor are candidates too. What decides is the Jaccard similarity of the
-sets of five-word shingles: candidates whose signatures (128 least values, a byte each) agree in nearly all places are
-taken, those in clear disagreement are not, and for all others the texts themselves are compared.
+sets of five-word shingles of the texts themselves: signatures (128 least values, a byte each) only leave out candidates
+in clear disagreement, and the links left join candidates to families. The texts of a family are compared with each other
+until no similar ones are left apart.
 
 Defined cases: texts are compared by their words in lower case (A-Z), so texts without a word are all alike; a text of
 fewer words than a shingle is one shingle; rows with equal words form one group, and of repeated rows one stays; a null
@@ -29,11 +30,13 @@ from .components import connected
 SHINGLE, SIMILARITY = 5, 0.8
 #: Hash orders of a signature, and how many of them give an anchor.
 PLACES, ANCHORS = 128, 8
-#: Agreement of signatures from which a pair is taken, and below which it is not; about two and three deviations from 0.8.
-SURE, UNLIKE = 0.87, 0.69
+#: Agreement of signatures from which a search goes on through a pair at once, and below which a pair is no candidate: five
+#: deviations below 0.8, where of pairs at that similarity about one in a million falls, no more than share no anchor (0.2 ** 8).
+CLOSE, UNLIKE = 0.87, 0.62
 KEY_ROWS = 16_384
-#: Members of a family in a chunk; a task of the last search holds two chunks.
-CHUNK = 256
+#: A family's texts are dealt into chunks of FINE bytes, or CHUNKS chunks and one for every CHUNK bytes where that is fewer; a
+#: task of the search compares about two chunks.
+FINE, CHUNKS, CHUNK = 250_000, 8, 4_000_000
 _ODD = np.random.default_rng(2_024).integers(1, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(2_025).integers(0, 1 << 62, PLACES, dtype=np.uint64)
 
@@ -82,9 +85,9 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x == y).mean(-1)
 
 
-def _search(nodes: np.ndarray, signs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links (a, b, sure) within one group, fewer than it has members: a search takes surely linked ones out, and what it does
-    not reach is joined by the doubtful link of closest agreement, so that the links are a greatest spanning forest. They join
+def _search(nodes: np.ndarray, signs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) within one group, fewer than it has members: a search takes close ones out, and what it does
+    not reach is joined by the link of closest agreement, so that the links are a greatest spanning forest. They join
     all that candidates join, but say nothing of which candidates are alike: see the search in families."""
     if not len(nodes):
         return
@@ -96,21 +99,21 @@ def _search(nodes: np.ndarray, signs: np.ndarray) -> Iterator[tuple[np.ndarray,
             q = int(left[k])
             left = np.delete(left, k)
             if best[q] >= UNLIKE:
-                yield nodes[source[q] : source[q] + 1], nodes[q : q + 1], False
+                yield nodes[source[q] : source[q] + 1], nodes[q : q + 1]
             queue.append(q)
             continue
         q = queue.pop()
         near = _alike(signs[left], signs[q])
-        sure = near >= SURE
-        if sure.any():
-            yield np.full(int(sure.sum()), nodes[q]), nodes[left[sure]], True
-            queue += left[sure].tolist()
-            left, near = left[~sure], near[~sure]
+        close = near >= CLOSE
+        if close.any():
+            yield np.full(int(close.sum()), nodes[q]), nodes[left[close]]
+            queue += left[close].tolist()
+            left, near = left[~close], near[~close]
         closer = near > best[left]
         best[left[closer]], source[left[closer]] = near[closer], q
 
 
-def links_in(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, small: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def links_in(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, small: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within each run of equal keys."""
     edge = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
@@ -121,16 +124,14 @@ def links_in(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, small: int
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        near = _alike(signs[at], signs[at + step])
-        hit = near >= UNLIKE
-        yield nodes[at[hit]], nodes[at[hit] + step], near[hit] >= SURE
+        hit = _alike(signs[at], signs[at + step]) >= UNLIKE
+        yield nodes[at[hit]], nodes[at[hit] + step]
     for run in np.flatnonzero(lengths > small):
-        for a, b, sure in _search(nodes[starts[run] : ends[run]], signs[starts[run] : ends[run]]):
-            yield a, b, np.full(len(a), sure)
+        yield from _search(nodes[starts[run] : ends[run]], signs[starts[run] : ends[run]])
 
 
 def anchor_links(classes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(a, b, sure): links between classes (node, anchors, signature) that share an anchor."""
+    """(a, b): links between classes (node, anchors, signature) that share an anchor."""
     explode = lambda df: df.select(F.explode("anchors").alias("key"), "node", "signature")
     keyed = simhash.split_heavy(explode(classes), explode(classes.filter(simhash.sampled("node"))).select("key", "node"), "node", key_rows)
 
@@ -141,8 +142,8 @@ def anchor_links(classes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
             whole = pa.Table.from_batches(rows).combine_chunks()
             keys, nodes = whole.column(0).to_numpy(), whole.column(1).to_numpy()
             signs = np.frombuffer(b"".join(whole.column(2).to_pylist()), np.uint8).reshape(-1, PLACES)
-            for a, b, sure in links_in(keys, nodes, signs):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], ["a", "b", "sure"])
+            for a, b in links_in(keys, nodes, signs):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:  # the last run of a batch waits for the next
             keys = batch.column(0).to_numpy()
@@ -158,8 +159,8 @@ def anchor_links(classes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
         if held:
             yield from told(held)
 
-    links = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long, sure boolean")
-    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")).filter("a <> b")
+    links = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
 def fingerprint_links(classes: DataFrame) -> DataFrame:
@@ -171,65 +172,59 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
     return same.unionByName(near.join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")).filter("a <> b").distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text), compared whole, are similar enough."""
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.unique(shingles(t.as_py().lower().split())) for t in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    of = lambda n: texts.select(F.col("node").alias(n), F.coalesce("text", F.lit("")).cast("binary").alias(f"text_{n}"))
-    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(judged, "a long, b long")
-
-
-def search_texts(nodes: np.ndarray, parts: np.ndarray, texts: list[bytes], similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) between texts that are similar enough, until no two such texts are left apart; those of one part are together already."""
+def search_texts(nodes: np.ndarray, texts: list[bytes], similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) between texts that are similar enough, until no two such texts are left apart."""
     sets = [np.unique(shingles(t.lower().split())) for t in texts]
     sizes = np.array([len(x) for x in sets])
-    ends = np.cumsum(sizes)
-    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    of = np.split(ids, ends[:-1])
-    mark = np.zeros(len(known), bool)
-    left, queue = np.arange(len(nodes)), []
-    while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-        q = queue.pop()
-        own = parts[left] == parts[q]
-        queue += left[own].tolist()
-        left = left[~own]
-        near = left[np.minimum(sizes[left], sizes[q]) >= similarity * np.maximum(sizes[left], sizes[q]) - 1e-6]
-        if not len(near):
+    known, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(known))  # the rarest first
+    of = [np.sort(x) for x in np.split(rank[ids], np.cumsum(sizes)[:-1])]
+    # similar sets share one of the rarest shingles of each: all but the fewest that they must have in common, and one more
+    first = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+    keys = np.concatenate([x[:n] for x, n in zip(of, first, strict=True)])
+    owners = np.repeat(np.arange(len(nodes)), np.minimum(first, sizes))
+    order = np.argsort(keys, kind="stable")
+    owners, starts = owners[order], np.searchsorted(keys[order], np.arange(len(known) + 1))
+    left, mark = np.ones(len(nodes), bool), np.zeros(len(known), bool)
+    for start in range(len(nodes)):
+        if not left[start]:
             continue
-        mark[of[q]] = True
-        both = np.array([np.count_nonzero(mark[of[m]]) for m in near])
-        mark[of[q]] = False
-        hit = near[both >= similarity * (sizes[near] + sizes[q] - both)]
-        yield np.full(len(hit), nodes[q]), nodes[hit]
-        queue += hit.tolist()
-        left = np.setdiff1d(left, hit, assume_unique=True)
-
-
-def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between similar texts of families (node, family, part) of several parts. Every two members of a family meet, by pairs of
+        queue, left[start] = [start], False
+        while queue:
+            q = queue.pop()
+            met = [owners[starts[k] : starts[k + 1]] for k in of[q][: first[q]]]
+            near = np.unique(np.concatenate([x[left[x]] for x in met])) if met else np.empty(0, np.int64)
+            near = near[np.minimum(sizes[near], sizes[q]) >= similarity * np.maximum(sizes[near], sizes[q]) - 1e-6]
+            if not len(near):
+                continue
+            mark[of[q]] = True
+            both = np.array([np.count_nonzero(mark[of[m]]) for m in near])
+            mark[of[q]] = False
+            hit = near[both >= similarity * (sizes[near] + sizes[q] - both)]
+            if len(hit):
+                yield np.full(len(hit), nodes[q]), nodes[hit]
+                queue += hit.tolist()
+                left[hit] = False
+
+
+def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, fine: int = FINE) -> DataFrame:
+    """(a, b): links between the similar texts (node, text) of each family (node, family). Every two members of a family meet, by pairs of
     chunks, so that which are compared depends neither on the size of a group nor on what its forest of candidates was."""
-    mixed = members.groupBy("family").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).filter("least <> most")
+    whole = members.join(texts.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "node")
+    size = F.sum(F.octet_length("text")) + 1
+    mixed = whole.groupBy("family").agg(F.least(F.ceil(size / fine), F.ceil(size / CHUNK) + CHUNKS).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != own) | (F.col("chunks") == 1))
     keys = F.transform(others, lambda j: F.xxhash64("family", F.least(own, j), F.greatest(own, j)))
-    dealt = members.join(mixed, "family").join(texts, "node").select(F.explode(keys).alias("key"), "node", "part", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    dealt = whole.join(mixed, "family").select(F.explode(keys).alias("key"), "node", "text")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def told() -> Iterator[pa.RecordBatch]:
-            nodes, parts, of = zip(*held, strict=True)
-            for a, b in search_texts(np.array(nodes), np.array(parts), list(of), similarity):
+            nodes, of = zip(*held, strict=True)
+            for a, b in search_texts(np.array(nodes), list(of), similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -249,21 +244,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     """The rows' description, and (node, root) of the classes whose component has a smaller node. docs is read twice."""
     marked = cut(describe(docs))
     classes = cut(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("signature").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("row")))
-    links = cut(anchor_links(classes))
-    sure = links.filter("sure").select("a", "b")
-    parts = connected(sure)
-    root = lambda n: parts.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-    named = cut(links.select("a", "b").unionByName(fingerprint_links(classes).select("a", "b")).distinct())
-    open_ = cut(named.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    named = cut(anchor_links(classes).unionByName(fingerprint_links(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     families = connected(named).withColumnRenamed("root", "family")
     every = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = every.join(classes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("k"), F.col("row.text_hash").alias("h"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = cut(keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"]))
-    held = cut(sure.unionByName(similar(open_, texts, similarity)))
-    joined = connected(held).withColumnRenamed("root", "part")
-    members = cut(every.join(families, "node", "left").join(joined, "node", "left").select("node", F.coalesce("family", "node").alias("family"), F.coalesce("part", "node").alias("part")))
-    return marked, connected(held.unionByName(family_links(members, texts, similarity)))
+    members = every.join(families, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
+    return marked, connected(family_links(members, texts, similarity))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

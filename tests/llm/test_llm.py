@@ -302,11 +302,23 @@ def test_near_text_large_groups_against_brute_force(spark):
     assert kept == brute_groups(texts)
 
 
+def test_near_text_takes_nothing_below_the_similarity(spark):
+    """Pairs a little below and a little above 0.8, each of its own words, of which signatures alone take some wrongly."""
+    rows, want = [], set()
+    for k in range(1500):
+        base = [f"p{k}w{i}" for i in range(104)]
+        changed = 12 if k % 2 else 11  # of 100 shingles: 88 / 112 = 0.786, 89 / 111 = 0.802
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 104 - changed] + [f"q{k}w{i}" for i in range(changed)]))]
+        want |= {2 * k} | ({2 * k + 1} if k % 2 else set())
+    kept = {r.doc_id for r in near_text.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want
+
+
 def test_family_chunks_meet(spark):
     texts = graded(np.random.default_rng(32), 40)
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    members = df.selectExpr("node", "node div 40 AS family", "node AS part")
-    linked = near_text.connected(near_text.family_links(members, df, chunk=7))
+    members = df.selectExpr("node", "node div 40 AS family")
+    linked = near_text.connected(near_text.family_links(members, df, fine=12_000))
     assert set(range(len(texts))) - {r.node for r in linked.collect()} == brute_groups(texts)
 
 
