@@ -1,6 +1,7 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a sentence: texts are cut at line ends and after ``.``, ``;``, ``!`` or ``?`` before white space. A block
+A block is a sentence, which may run over lines, as wrapped notices do: texts are cut at lines without a word and after
+``.``, ``;``, ``!`` or ``?`` before white space, but not after ``v.``, ``ver.`` or ``vers.`` of a version. A block
 matches a template if it has at least the threshold of the template's distinct words, and all of its required ones.
 
 The join is exact. Template words are ordered by how many documents of the whole collection have them, rarest first. A
@@ -48,7 +49,7 @@ TEMPLATES = (
 
 #: Bytes to words: A-Z become a-z; digits, letters and all of non-ASCII stay; the rest become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_END = re.compile(rb"[.;!?]+(?=[\x20\x09-\x0D])|\n")
+_END = re.compile(rb"(?:[;!?]|(?<!\bv)(?<!\bver)(?<!\bvers)\.)[.;!?]*(?=[\x20\x09-\x0D])|(?:\n|\r(?!\n))[^0-9A-Za-z\x80-\xFF\n\r]*[\n\r]", re.IGNORECASE)
 
 
 def words_of(text: bytes) -> list[bytes]:

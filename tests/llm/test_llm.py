@@ -330,6 +330,35 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_license_notices(prefix, end):
+    index = licenses.Index(licenses.templates({}))
+    texts = lambda lines: end.join(lines).encode()
+    found = lambda lines: {t.label for t, *_ in index.blocks(texts(lines), licenses.words_of(texts(lines)))}
+    for label, notice in NOTICES.items():
+        lines = [prefix + x for x in ("Copyright (c) 2020 A. Person", "", *notice.split("\n"), "", "More words.")]
+        assert found(lines) == {label}
+        first = lines[2].split()
+        half = len(first) // 2
+        assert found([" ".join(first[:half]), prefix, " ".join(first[half:]), *lines[3:]]) == set()  # what a line without a word parts is two blocks
+
+
+def test_blocks_of_a_text_count_its_words():
+    index = licenses.Index(licenses.templates({}))
+    text = b"one two.\n\nthree v. 4\nfive! six\r\n \r\nReleased under the\nMIT License."
+    words = licenses.words_of(text)
+    assert [(t.label, first, n) for t, _, first, n in index.blocks(text, words)] == [("mit", 7, 5)] and words[7] == b"released"
+
+
 def test_license_join_is_exact():
     rng = np.random.default_rng(8)
     given = [(f"l{k}", "", " ".join(f"t{i}" for i in rng.choice(30, 8, replace=False))) for k in range(20)]
