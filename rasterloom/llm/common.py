@@ -42,9 +42,18 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-checkpoints-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder, so that no lost executor loses them."""
+#: Narrow rows that a partition of a cut holds where their number is known to be few.
+CUT_ROWS = 100_000
+
+
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """The same rows, computed once and kept in the shared checkpoint folder, so that no lost executor loses them.
+
+    most_rows, a bound on the number of rows if one is known, keeps few rows from being spread over very many files.
+    """
     ensure_checkpoints(df.sparkSession)
+    if most_rows is not None:
+        df = df.coalesce(most_rows // CUT_ROWS + 1)
     return df.checkpoint()
 
 
@@ -64,6 +73,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+def span(text: str, chars: int) -> Column:
+    """The text, or of a longer one its first and its last chars / 2 characters with a space between."""
+    return F.when(F.length(text) <= chars, F.col(text)).otherwise(F.concat(F.substring(text, 1, chars // 2), F.lit(" "), F.substring(text, -(chars // 2), chars // 2)))
+
+
 def hash_sample(df: DataFrame, most: int, *columns: str, seed: int = 0, of: DataFrame | None = None) -> DataFrame:
     """At most most rows of df, those of least hash of the columns.
 

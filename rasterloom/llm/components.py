@@ -10,9 +10,9 @@ from .common import broadcast_if_small, cut
 HUB_DEGREE = 200_000
 
 
-def _with_least(edges: DataFrame, hub_degree: int) -> DataFrame:
-    """edges (u, v) with m, the least of u and its neighbours. The few nodes of very high degree are sent to the edges, so that none fills a task."""
-    least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+def _with_least(edges: DataFrame, hub_degree: int, rows: int) -> DataFrame:
+    """edges (u, v), at most rows of them, with m, the least of u and its neighbours. The few nodes of very high degree are sent to the edges, so that none fills a task."""
+    least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), rows)
     hubs = least.filter(F.col("n") > hub_degree).select("u", F.col("m").alias("hub_m"))
     if hubs.isEmpty():
         return edges.join(least.drop("n"), "u")
@@ -33,10 +33,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", hub_degree: int = HU
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == state or not new[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = new
+        state, rows = new, 2 * new[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(_with_least(both, hub_degree).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        stars = _with_least(large, hub_degree)
+        large = cut(_with_least(both, hub_degree, rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), rows)
+        stars = _with_least(large, hub_degree, rows)
         small = stars.select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-        now = cut(small.filter("u <> v").distinct())
+        now = cut(small.filter("u <> v").distinct(), 2 * rows)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -5,7 +5,7 @@ similarity the 64 bits differ in about ten places. So each text also has anchors
 several hash orders, and texts that share an anchor are candidates too. What decides is the Jaccard similarity of the
 sets of five-word shingles of the texts themselves: signatures (128 least values, a byte each) only leave out candidates
 in clear disagreement, and the links left join candidates to families. The texts of a family are compared with each other
-until no similar ones are left apart.
+until no similar ones are left apart (see family_links for large families).
 
 Defined cases: texts are compared by their words in lower case (A-Z), so texts without a word are all alike; a text of
 fewer words than a shingle is one shingle; rows with equal words form one group, and of repeated rows one stays; a null
@@ -20,11 +20,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut
+from .common import broadcast_if_small, cut
 from .components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -34,9 +34,9 @@ PLACES, ANCHORS = 128, 8
 #: deviations below 0.8, where of pairs at that similarity about one in a million falls, no more than share no anchor (0.2 ** 8).
 CLOSE, UNLIKE = 0.87, 0.62
 KEY_ROWS = 16_384
-#: A family's texts are dealt into chunks of FINE bytes, or CHUNKS chunks and one for every CHUNK bytes where that is fewer; a
-#: task of the search compares about two chunks.
-FINE, CHUNKS, CHUNK = 250_000, 8, 4_000_000
+#: A family's texts are dealt into chunks of about so many bytes, and a task of the search holds two at most; and so many texts
+#: stand for each component where components of different chunks are first compared.
+CHUNK, PROXIES = 2_000_000, 8
 _ODD = np.random.default_rng(2_024).integers(1, 1 << 62, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(2_025).integers(0, 1 << 62, PLACES, dtype=np.uint64)
 
@@ -172,8 +172,8 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
     return same.unionByName(near.join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")).filter("a <> b").distinct()
 
 
-def search_texts(nodes: np.ndarray, texts: list[bytes], similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) between texts that are similar enough, until no two such texts are left apart."""
+def search_texts(nodes: np.ndarray, texts: list[bytes], similarity: float = SIMILARITY, comps: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) between texts that are similar enough, until no two such texts are left apart. Texts of one component (comps) count as linked already."""
     sets = [np.unique(shingles(t.lower().split())) for t in texts]
     sizes = np.array([len(x) for x in sets])
     known, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -187,11 +187,25 @@ def search_texts(nodes: np.ndarray, texts: list[bytes], similarity: float = SIMI
     order = np.argsort(keys, kind="stable")
     owners, starts = owners[order], np.searchsorted(keys[order], np.arange(len(known) + 1))
     left, mark = np.ones(len(nodes), bool), np.zeros(len(known), bool)
+    rest = len(nodes)
+    mates = np.argsort(comps, kind="stable") if comps is not None else None
+    spans = (np.searchsorted(comps[mates], comps, "left"), np.searchsorted(comps[mates], comps, "right")) if comps is not None else None
+
+    def taken(found: np.ndarray) -> list[int]:
+        """found, with all of their components, which are no longer left."""
+        nonlocal rest
+        if mates is not None:
+            _, one = np.unique(comps[found], return_index=True)
+            found = np.concatenate([mates[spans[0][k] : spans[1][k]] for k in found[one]])
+        left[found] = False
+        rest -= len(found)
+        return found.tolist()
+
     for start in range(len(nodes)):
         if not left[start]:
             continue
-        queue, left[start] = [start], False
-        while queue:
+        queue = taken(np.array([start]))
+        while queue and rest:
             q = queue.pop()
             met = [owners[starts[k] : starts[k + 1]] for k in of[q][: first[q]]]
             near = np.unique(np.concatenate([x[left[x]] for x in met])) if met else np.empty(0, np.int64)
@@ -204,27 +218,18 @@ def search_texts(nodes: np.ndarray, texts: list[bytes], similarity: float = SIMI
             hit = near[both >= similarity * (sizes[near] + sizes[q] - both)]
             if len(hit):
                 yield np.full(len(hit), nodes[q]), nodes[hit]
-                queue += hit.tolist()
-                left[hit] = False
+                queue += taken(hit)
 
 
-def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, fine: int = FINE) -> DataFrame:
-    """(a, b): links between the similar texts (node, text) of each family (node, family). Every two members of a family meet, by pairs of
-    chunks, so that which are compared depends neither on the size of a group nor on what its forest of candidates was."""
-    whole = members.join(texts.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "node")
-    size = F.sum(F.octet_length("text")) + 1
-    mixed = whole.groupBy("family").agg(F.least(F.ceil(size / fine), F.ceil(size / CHUNK) + CHUNKS).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != own) | (F.col("chunks") == 1))
-    keys = F.transform(others, lambda j: F.xxhash64("family", F.least(own, j), F.greatest(own, j)))
-    dealt = whole.join(mixed, "family").select(F.explode(keys).alias("key"), "node", "text")
+def _searched(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): what search_texts finds among the rows (key, node, comp, text) of each key."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def told() -> Iterator[pa.RecordBatch]:
-            nodes, of = zip(*held, strict=True)
-            for a, b in search_texts(np.array(nodes), list(of), similarity):
+            nodes, comps, of = zip(*held, strict=True)
+            for a, b in search_texts(np.array(nodes), list(of), similarity, np.array(comps)):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -237,7 +242,50 @@ def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMIL
         if held:
             yield from told()
 
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
+    return dealt.select("key", "node", "comp", "text").repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
+
+
+def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (node, ...) with comp, the smallest node that links reach from theirs."""
+    return rows.join(connected(links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, proxies: int = PROXIES) -> DataFrame:
+    """(a, b): links between the similar texts (node, text) of each family (node, family), which join all that are similar.
+
+    A family is dealt into chunks of about chunk bytes, and each chunk is searched. That is all for families of one
+    chunk. In larger ones, a few texts of each component found are searched together, which joins what is dense; then
+    each chunk of texts outside the family's largest component meets every other chunk. So no similar pair is missed,
+    and what is moved grows with the square of what lies outside the largest component alone.
+    """
+    whole = cut(members.join(texts.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "node").withColumn("size", F.octet_length("text")))
+    sizes = whole.groupBy("family").agg((F.sum("size") / chunk + 1).cast("int").alias("chunks"))
+    large = cut(sizes.filter("chunks > 1"))
+    dealt = whole.join(broadcast_if_small(large), "family", "left")
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), n).cast("int")
+    links = cut(_searched(dealt.select(F.xxhash64("family", part(F.coalesce("chunks", F.lit(1)))).alias("key"), "node", F.col("node").alias("comp"), "text"), similarity))
+    if large.isEmpty():
+        return links
+    several = dealt.filter("chunks IS NOT NULL").select("family", "node", "text", "size")
+    inside = links.join(several.select(F.col("node").alias("a")), "a", "left_semi")
+    rows = cut(_with_components(several.drop("text"), inside))
+    few = rows.withColumn("place", F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("node", F.lit(13)), "node"))).filter(F.col("place") <= proxies)
+    spread = few.join(few.groupBy("family").agg((F.sum("size") / chunk + 1).cast("int").alias("chunks")), "family")
+    met = spread.join(whole.select("node", "text"), "node").select(F.xxhash64("family", part(F.col("chunks"))).alias("key"), "node", "comp", "text")
+    links = cut(links.unionByName(_searched(met, similarity)))
+    rows = cut(_with_components(rows.drop("comp"), links.join(several.select(F.col("node").alias("a")), "a", "left_semi")))
+    each = rows.groupBy("family", "comp").agg(F.sum("size").alias("size"))
+    shape = each.groupBy("family").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), (F.max("size") / chunk + 1).cast("int").alias("mains"), ((F.sum("size") - F.max("size")) / chunk + 1).cast("int").alias("others"), F.count("*").alias("n"))
+    shape = cut(shape.filter("n > 1").drop("n"))
+    if shape.isEmpty():
+        return links
+    apart = rows.join(broadcast_if_small(shape), "family").withColumn("own", part(F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    pair = lambda kind, i, j: F.xxhash64("family", F.lit(kind), i, j)
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    across = F.transform(F.filter(to(F.col("others")), lambda j: j != F.col("own")), lambda j: pair("others", F.least("own", j), F.greatest("own", j)))
+    keys = F.when(F.col("comp") == F.col("main"), F.transform(to(F.col("others")), lambda j: pair("main", F.col("own"), j))).otherwise(F.concat(F.transform(to(F.col("mains")), lambda i: pair("main", i, F.col("own"))), across))
+    last = apart.join(whole.select("node", "text"), "node").select(F.explode(keys).alias("key"), "node", "comp", "text")
+    return cut(links.unionByName(_searched(last, similarity)))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +297,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     every = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = every.join(classes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("k"), F.col("row.text_hash").alias("h"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = cut(keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"]))
+    texts = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))).groupBy("node").agg(F.first("text").alias("text"))
     members = every.join(families, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
     return marked, connected(family_links(members, texts, similarity))
 
