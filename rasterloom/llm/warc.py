@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import broadcast_if_small, cut, hash_sample
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -83,12 +83,13 @@ def page_urn(page_id) -> str:
 def with_revisits(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """page_id, url, payload and refers_to: null for responses, else the smallest page_id with an equal payload of at least min_bytes bytes.
 
-    Payloads meet by SHA-256 and length; only those that occur more than once, one row for each, join the pages.
+    Payloads meet by SHA-256. Only the digests of those that occur more than once, one row for each, join the pages: they
+    travel to them if they are few, and else what joins by one popular payload can be split, since they are cut first.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     keyed = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("__key"), F.octet_length(body).alias("__bytes"))
-    firsts = keyed.filter(F.col("__bytes") >= min_bytes).groupBy("__key").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    return keyed.join(firsts, "__key", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")).alias("refers_to"))
+    firsts = cut(keyed.filter(F.col("__bytes") >= min_bytes).groupBy("__key").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
+    return keyed.join(broadcast_if_small(firsts, 1_000_000), "__key", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, dictionary: bytes = b"", archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
