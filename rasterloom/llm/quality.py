@@ -187,8 +187,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS,
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__label"))
     few = F.broadcast(hash_sample(chosen, most, "doc_id"))  # at most most rows of two numbers
     met = statistics(docs.select("doc_id", "text").join(few, "doc_id"), keep=["__label"])
-    got = met.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("__label") == 0).alias("bad"), F.struct(*(c.alias(n) for n, c in features().items())).alias("f")).collect()
-    return [(r.f.asDict(), r.bad) for r in sorted(got, key=lambda r: (r.h, r.doc_id))[:most]]
+    told = met.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("__label") == 0).alias("bad"), F.struct(*(c.alias(n) for n, c in features().items())).alias("f"))
+    got = told.orderBy("h", "doc_id", "f").limit(most).collect()  # doc_id may repeat
+    return [(r.f.asDict(), r.bad) for r in got]
 
 
 def base_failed() -> Column:
@@ -204,7 +205,5 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs, with all their columns, that pass the base rules and the list."""
     found = statistics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", "text"), keep=["__row"])
-    # the row number is never below 0; not being a function of the row, it keeps the filter from being pushed down and
-    # the statistics from being made anew for each of their uses
-    verdict = F.when(F.monotonically_increasing_id() >= 0, ~base_failed() & rules.kept())
-    return found.withColumn("__kept", verdict).filter("__kept").select("__row.*")
+    # a filter is not moved below the generator that makes what it reads, so the statistics are made once for each row
+    return found.select("__row", F.explode(F.array(~base_failed() & rules.kept())).alias("__kept")).filter("__kept").select("__row.*")
