@@ -2,7 +2,7 @@
 
 Each word is a place in the chain. Its score for a language is the sum of learned weights of its letter n-grams, of
 its affixes (n-grams at its beginning or end are features of their own) and of the whole word (the lexicon); learned
-transitions join neighbours. Forward-backward gives each word's marginals. A text's language is a softmax over the
+transitions join neighbours, and learned start weights open the chain. Forward-backward gives each word's marginals. A text's language is a softmax over the
 mean marginals of all its words, of its first words and of its last ones, with learned weights: inserts in another
 language can be long, while a text begins and ends in its own.
 
@@ -21,15 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, hash_sample
+from .common import crc_bucket, span
 from .lexical import Words
 
 UNKNOWN = "und"
 ORDERS, BITS, LEXICON_BITS = (2, 3, 4), 16, 17
-#: Training texts at most, and characters of each; words at either end that count on their own.
+#: Training texts at most, and characters of each, half of them from either end of a longer one; words at either end that count on their own.
 SAMPLE_ROWS, SAMPLE_CHARS, EDGE = 1600, 6000, 12
 EPOCHS, RATE, BATCH = 3, 0.5, 100
 #: Words whose scores a task holds at once, unless one text has more.
@@ -135,6 +135,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float
     totals = {"grams": np.full_like(model.grams, 1e-3), "lexicon": np.full_like(model.lexicon, 1e-3)}
     scatter = lambda ids, g, n: np.stack([np.bincount(ids, g[:, j], n) for j in range(k)], 1).astype(np.float32)
     observed, expected = np.ones((k, k)), np.ones((k, k))
+    opened, awaited = np.ones(k), np.ones(k)
     for relabelled in (False, True):
         targets = []
         for words, ids, lexicon, y in batches:
@@ -143,7 +144,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float
                 y = np.where(m.max(1) > 0.9, m.argmax(1), y)
             targets.append(y)
         for _ in range(epochs):
-            observed[:], expected[:] = 0.5, 0.5
+            observed[:], expected[:], opened[:], awaited[:] = 0.5, 0.5, 0.5, 0.5
             for (words, ids, lexicon, _), y in zip(batches, targets, strict=True):
                 m, pairs = marginals(model, emissions(model, words), words.counts, pairs=True)
                 g = -m
@@ -159,6 +160,10 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float
                 same = words.text[1:] == words.text[:-1]
                 np.add.at(observed, (y[:-1][same], y[1:][same]), 1)
                 expected += pairs
+                first = np.append(True, ~same)
+                np.add.at(opened, y[first], 1)
+                awaited += m[first].sum(0)
+            model.start = np.clip(model.start + 0.5 * (np.log(opened) - np.log(awaited)), -6, 6)
             model.transition = np.clip(model.transition + 0.5 * (np.log(observed) - np.log(expected)), -6, 6)
     seen, right = [], []
     for at in range(0, len(texts), BATCH):
@@ -208,10 +213,30 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return langs, probability
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """most rows shared out evenly, where what a language lacks goes to the others."""
+    out, left = {}, most
+    for at, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], left // (len(counts) - at))
+        left -= out[lang]
+    return out
+
+
 def training_rows(docs: DataFrame, most: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, parts: int = 4, held: int = 2) -> list[tuple[str, str]]:
-    """At most most labelled texts of at most chars characters, by a hash of doc_id, outside the held-out part."""
-    use = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= chars) & (crc_bucket("doc_id", parts) != held)).select("doc_id", "text", "lang")
-    return [(r.text, r.lang) for r in sorted(hash_sample(use, most, "doc_id", of=docs).collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64) if isinstance(r.doc_id, int) else 0, r.text))]
+    """At most most labelled texts, as many of each language as there are or its share of most, by a hash of doc_id, outside the held-out part; spans of those over chars characters."""
+    use = docs.filter(F.col("lang").isNotNull() & (crc_bucket("doc_id", parts) != held))
+    counts = {r.lang: r["count"] for r in use.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+    share = {lang: min(1.0, 3 * n / counts[lang]) for lang, n in quotas(counts, most).items() if n}
+    if not share:
+        return []
+    # rows are thinned by the hash before they meet, at three times the share needed, so that few are moved
+    part = F.create_map(*(x for lang, p in share.items() for x in (F.lit(lang), F.lit(int(p * (1 << 40))))))
+    h = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40))
+    thin = use.select("doc_id", "lang", h.alias("h"), span("text", chars).alias("text")).filter((F.col("h") < F.try_element_at(part, F.col("lang"))) & (F.col("text") != ""))
+    ranked = thin.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text")))
+    limits = F.create_map(*(x for lang, n in quotas(counts, most).items() for x in (F.lit(lang), F.lit(n))))
+    rows = ranked.filter(F.col("place") <= F.try_element_at(limits, F.col("lang"))).collect()
+    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.text))]
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
