@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Where a cut before a space could change the pre-tokens: a space after other white space, or at the end.
-_UNSAFE = re.compile(r"\s | \Z|\0")
+_UNSAFE = r"\s | \Z|\0"
 _WHITE = re.compile(r"\s")
 #: New words without white space are encoded this many in one text, which spares an encoding object for each.
 JOINT_WORDS = 1_000
@@ -26,7 +26,8 @@ class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers.
 
     The pre-tokenizer starts a new piece at a single space that stands between two non-spaces, so such a text can be
-    cut there and its chunks encoded apart; chunks repeat far more often than texts. Other texts are encoded whole.
+    cut there and its chunks encoded apart; chunks repeat far more often than texts. Other texts, and those that hold
+    one of the vocabulary's added tokens in letters, which the tokenizer takes for the token itself, are encoded whole.
     When the cache holds most_chunks chunks it becomes the old one and an empty one takes its place, into which what is
     still in use is carried over; so memory stays bounded and common chunks stay known.
     """
@@ -36,7 +37,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.unsafe = re.compile("|".join([_UNSAFE, *map(re.escape, added)]))
         self.most, self.known, self.old = most_chunks, {}, {}
         space = self._whole([" "])[0]
         mark = self.tokenizer.id_to_token(struct.unpack("<I", space)[0])  # how the vocabulary writes a space
@@ -85,7 +87,7 @@ class ChunkEncoder:
         return (bytes(ids[a:b]) for a, b in pairwise(ends))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not _UNSAFE.search(t) for t in texts]
+        plain = [not self.unsafe.search(t) for t in texts]
         apart = [t for t, p in zip(texts, plain, strict=True) if p]
         rest = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         blocks, size = [[]], 0
