@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 from .components import connected
 from .golay import indices
 
@@ -164,7 +164,7 @@ def split_heavy(keyed: DataFrame, part: DataFrame, node: str, key_rows: int) ->
         return keyed
     own = F.pmod(F.xxhash64(node, F.lit(7)), F.col("chunks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-    dealt = keyed.join(heavy, "key", "left")
+    dealt = keyed.join(broadcast_if_small(heavy), "key", "left")
     light = dealt.filter("chunks IS NULL").select(keyed.columns)
     return light.unionByName(dealt.filter("chunks IS NOT NULL").withColumn("key", F.explode(met)).select(keyed.columns))
 
@@ -194,8 +194,9 @@ def components(marked: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected(link(classes, bits))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left")
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # cut, so that what joins it by one large component can be split
+    named = cut(rooted.join(broadcast_if_small(least), "root").select("fp", "component_id"))
+    return marked.join(broadcast_if_small(named), "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
