@@ -7,7 +7,8 @@ unlabelled ones. With the class prior p, the sigmoid loss l and the three means
     p * E_toxic[l(+)] + max(0, E_unlabelled[l(-)] - p * E_toxic[l(-)])
 
 and where the second term falls below zero, a step goes up its slope only, which keeps it from being fitted to noise.
-The scale and the offset that turn scores into probabilities come from labelled texts that trained no weight.
+The bias that the risk leads to, by way of the prior, turns a text's score into a probability; labelled clean texts are
+used for the prior alone.
 
 Defined cases: a null text, or one without a letter, gets the lowest score there is, that of no word; equal texts get
 equal scores; without a confirmed toxic text every score is 0; an empty table gives an empty result. Only the id and the
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, hash_sample
+from .common import crc_bucket, hash_sample, span
 from .lexical import Words
 
 ORDERS, BITS, WHOLE_BITS = (3, 4, 5), 17, 18
-#: Texts at most that are confirmed toxic, unlabelled, and labelled for the offset; characters of each.
-TOXIC_ROWS, UNLABELLED_ROWS, OFFSET_ROWS, SAMPLE_CHARS = 800, 1600, 2000, 4000
+#: Texts at most that are confirmed toxic and unlabelled; characters of each, half of them from either end of a longer one.
+TOXIC_ROWS, UNLABELLED_ROWS, SAMPLE_CHARS = 1200, 2400, 2400
 STEPS, RATE, SHARP = 60, 0.3, 4.0
 
 
@@ -37,8 +38,7 @@ STEPS, RATE, SHARP = 60, 0.3, 4.0
 class Model:
     grams: np.ndarray
     whole: np.ndarray
-    scale: float = 1.0
-    offset: float = 0.0
+    bias: float = 0.0
     trained: bool = False
 
     @staticmethod
@@ -84,6 +84,17 @@ def _unique_words(texts: list[str]) -> list[str]:
     return [" ".join(dict.fromkeys((t or "").lower().split())) for t in texts]
 
 
+def risk_slopes(z: np.ndarray, is_toxic: np.ndarray, prior: float) -> np.ndarray:
+    """For each text the slope to follow downwards: of the risk, or where the unlabelled part of it is below zero, of minus that part."""
+    s = sigmoid(z)
+    slope = s * (1 - s)  # of the loss sigmoid(z) that a text is not toxic; minus it of the one that it is
+    p, n_u = is_toxic.sum(), (~is_toxic).sum()
+    inner = s[~is_toxic].mean() - prior * s[is_toxic].mean()
+    unlabelled_part = np.where(is_toxic, -prior / p, 1 / n_u) * slope
+    toxic_part = np.where(is_toxic, -prior / p, 0.0) * slope
+    return toxic_part + unlabelled_part if inner >= 0 else -unlabelled_part
+
+
 def train(toxic: list[str], unlabelled: list[str], prior: float, steps: int = STEPS, rate: float = RATE) -> Model:
     model = Model.empty()
     if not toxic or not unlabelled:
@@ -111,15 +122,9 @@ def train(toxic: list[str], unlabelled: list[str], prior: float, steps: int = ST
         table[0] = 0
     bias, bias_total = -2.0, 1e-6
     totals = [np.full(len(model.grams), 1e-6), np.full(len(model.whole), 1e-6)]
-    n_u = max(1, len(unlabelled))
     for _ in range(steps):
         score, share = _soft_max(_word_scores(model, words, ids, whole), words.counts)
-        s = sigmoid(score + bias)
-        slope = s * (1 - s)  # of the loss sigmoid(z) that a text is not toxic; minus it of the one that it is
-        inner = s[~is_toxic].mean() - prior * s[is_toxic].mean()
-        unlabelled_part = np.where(is_toxic, -prior / p, 1 / n_u) * slope
-        toxic_part = np.where(is_toxic, -prior / p, 0.0) * slope
-        by_text = toxic_part + unlabelled_part if inner >= 0 else -unlabelled_part
+        by_text = risk_slopes(score + bias, is_toxic, prior)
         grads = spread(by_text[words.text] * share)
         for table, g, total in zip((model.grams, model.whole), grads, totals, strict=True):
             total += g * g
@@ -128,7 +133,7 @@ def train(toxic: list[str], unlabelled: list[str], prior: float, steps: int = ST
         g = by_text.sum()
         bias_total += g * g
         bias -= rate * g / bias_total**0.5
-    model.offset, model.trained = bias, True
+    model.bias, model.trained = bias, True
     return model
 
 
@@ -147,45 +152,22 @@ def raw_scores(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
-def calibrate(model: Model, texts: list[str], labels: list[int]) -> Model:
-    """The offset at which the fewest labelled texts are wrong, in the middle of the widest such gap, and a scale that makes the gap plain."""
-    y = np.array(labels)
-    if not model.trained or not len(y) or y.min() == y.max():
-        return model
-    x = raw_scores(model, texts)
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])  # cut before each row
-    edges = np.concatenate([[x[0] - 1], x, [x[-1] + 1]])
-    gap = np.where(wrong == wrong.min(), np.diff(edges), -1)
-    k = int(gap.argmax())
-    middle = (edges[k] + edges[k + 1]) / 2
-    model.scale = float(np.clip(4 / max(gap[k], 1e-3), 1, 20))
-    model.offset = -float(middle) * model.scale
-    return model
-
-
 def score(model: Model, texts: list[str]) -> np.ndarray:
-    return sigmoid(model.scale * raw_scores(model, texts) + model.offset) if model.trained else np.zeros(len(texts))
+    return sigmoid(raw_scores(model, texts) + model.bias) if model.trained else np.zeros(len(texts))
 
 
-def learn(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, label: str = "toxic") -> Model:
-    """A model from rows outside the held-out part: bounded samples by a hash of doc_id, of confirmed toxic texts, of all texts as unlabelled ones, and of others with labels for the offset."""
+def learn(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, label: str = "toxic", steps: int = STEPS) -> Model:
+    """A model from rows outside the held-out part: the prior from all labels, and bounded samples by a hash of doc_id, of confirmed toxic texts and of all texts as unlabelled ones."""
     known = labels.filter(F.col(label).isNotNull() & (crc_bucket("doc_id", parts) != held)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    counted = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
-    if not counted:
+    prior = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
+    if not prior:
         return Model.empty()
-    pick = lambda df, n: hash_sample(df, n, "doc_id", seed=11)
-    offset = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
-    chosen = pick(known.filter((F.col("y") == 1) & ~offset), TOXIC_ROWS).withColumn("use", F.lit("toxic"))
-    chosen = F.broadcast(chosen.unionByName(pick(known.filter(offset), OFFSET_ROWS).withColumn("use", F.lit("offset"))))  # at most as many rows as the two limits
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
-    met = sorted(((r.use, r.doc_id, r.text, r.y) for r in texts.join(chosen, "doc_id").collect()), key=lambda r: r[:3])
-    loose = hash_sample(texts.filter(F.col("text") != "").filter(crc_bucket("doc_id", parts) != held), UNLABELLED_ROWS, "doc_id", seed=13, of=docs).collect()
-    loose = sorted((r.doc_id, r.text) for r in loose)
-    model = train([t for use, _, t, _ in met if use == "toxic"], [t for _, t in loose], counted)
-    rest = [(t, y) for use, _, t, y in met if use == "offset"]
-    return calibrate(model, [t for t, _ in rest], [y for _, y in rest])
+    chosen = F.broadcast(hash_sample(known.filter("y = 1").select("doc_id"), TOXIC_ROWS, "doc_id", seed=11))  # at most so many rows
+    texts = docs.select("doc_id", span("text", SAMPLE_CHARS).alias("text")).filter("text <> ''")
+    met = texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TOXIC_ROWS).collect()  # doc_id may repeat
+    loose = hash_sample(texts.filter(crc_bucket("doc_id", parts) != held), UNLABELLED_ROWS, "doc_id", seed=13, of=docs).collect()
+    in_order = lambda rows: [t for _, t in sorted((r.doc_id, r.text) for r in rows)]
+    return train(in_order(met), in_order(loose), prior, steps)
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
