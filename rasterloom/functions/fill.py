@@ -1,4 +1,4 @@
-"""Vector documents back to pixels: even-odd fills with soft edges."""
+"""Vector documents back to pixels: even-odd fills, flat or by ramps, with soft edges."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ import re
 import numpy as np
 
 from .curves import bezier
+from .paints import Paint, colours
 
 _TOKEN = re.compile(r"[A-Za-z]|-?(?:\d+\.?\d*|\.\d+)")
 _PATH = re.compile(r"<path ([^>]*)/>")
+_RAMP = re.compile(r"<(linear|radial)Gradient ([^>]*)>(.*?)</\1Gradient>", re.DOTALL)
+_STOP = re.compile(r"<stop ([^>]*)/>")
 _ATTRIBUTE = re.compile(r'([\w-]+)="([^"]*)"')
 #: Scan lines in a row of pixels, and straight pieces of a curve.
 LINES, PIECES = 4, 12
@@ -78,16 +81,40 @@ def coverage(shapes: list[np.ndarray], width: int, height: int) -> np.ndarray:
     return np.clip(total.cumsum(1)[:, :width], 0, 1)
 
 
+def _rgb(text: str) -> tuple[float, ...]:
+    if not re.fullmatch("#[0-9A-Fa-f]{6}", text):
+        raise ValueError(f"fill {text!r} is not supported")
+    return tuple(float(int(text[k : k + 2], 16)) for k in (1, 3, 5))
+
+
+def ramps(svg: str) -> dict[str, Paint]:
+    """The gradient elements of a document by their ids."""
+    out = {}
+    for kind, head, inner in _RAMP.findall(svg):
+        found = dict(_ATTRIBUTE.findall(head))
+        shape = tuple(float(found[k]) for k in (("x1", "y1", "x2", "y2") if kind == "linear" else ("cx", "cy", "r")))
+        stops = [dict(_ATTRIBUTE.findall(text)) for text in _STOP.findall(inner)]
+        out[found["id"]] = Paint(kind, tuple((float(x["offset"]), _rgb(x["stop-color"]), float(x.get("stop-opacity", 1))) for x in stops), shape)
+    return out
+
+
 def render(svg: str, width: int, height: int) -> np.ndarray:
-    """Straight-alpha pixels (rows, columns, 4) of a document with flat fills, painted in order."""
+    """Straight-alpha pixels (rows, columns, 4) of a document, painted in order."""
     colour, alpha = np.zeros((height, width, 3)), np.zeros((height, width))
+    known = ramps(svg)
+    y, x = np.indices((height, width)).reshape(2, -1) + 0.5
     for text in _PATH.findall(svg):
         found = dict(_ATTRIBUTE.findall(text))
         fill = found.get("fill", "#000000")
-        if not re.fullmatch("#[0-9A-Fa-f]{6}", fill):
-            raise ValueError(f"fill {fill!r} is not supported")
         part = coverage(rings(found.get("d", "")), width, height) * float(found.get("fill-opacity", 1))
-        colour = colour * (1 - part[..., None]) + part[..., None] * np.array([int(fill[k : k + 2], 16) for k in (1, 3, 5)])
+        if fill.startswith("url(#"):
+            if fill[5:-1] not in known or (painted := colours(known[fill[5:-1]], np.column_stack([x, y]))) is None:
+                raise ValueError(f"fill {fill!r} is not supported")
+            own = painted[0].reshape(height, width, 3)
+            part = part * painted[1].reshape(height, width)
+        else:
+            own = np.array(_rgb(fill))
+        colour = colour * (1 - part[..., None]) + part[..., None] * own
         alpha = alpha * (1 - part) + part
     straight = colour / np.maximum(alpha, 1e-9)[..., None]
     return np.rint(np.concatenate([np.clip(straight, 0, 255) * (alpha > 0)[..., None], 255 * alpha[..., None]], 2)).astype(np.uint8)

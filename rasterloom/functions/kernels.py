@@ -8,16 +8,16 @@ import numpy as np
 def label4(grid: np.ndarray) -> np.ndarray:
     """Numbers of the 4-connected areas of equal non-zero values, from 1 in raster order of their first pixel; 0 elsewhere.
 
-    Every pixel points at the least pixel it can reach so far; pointers are followed and merged until nothing changes."""
+    Runs of equal values along rows are joined to those they touch below. Every run points at the least run it can reach so far; pointers are
+    followed and merged until nothing changes."""
     h, w = grid.shape
-    n = h * w
-    root = np.arange(n)
-    flat = grid.ravel()
-    index = np.arange(n).reshape(h, w)
-    pairs = [np.stack([index[:, :-1].ravel(), index[:, 1:].ravel()]), np.stack([index[:-1].ravel(), index[1:].ravel()])]
-    a, b = np.concatenate(pairs, 1)
-    same = (flat[a] == flat[b]) & (flat[a] != 0)
-    a, b = a[same], b[same]
+    new = np.ones((h, w), bool)
+    new[:, 1:] = grid[:, 1:] != grid[:, :-1]
+    run = (np.cumsum(new.ravel()) - 1).reshape(h, w)
+    value = grid.ravel()[new.ravel()]
+    touch = (grid[:-1] == grid[1:]) & (grid[1:] != 0) & (new[:-1] | new[1:])  # runs that touch do so where one of them begins
+    a, b = run[:-1][touch], run[1:][touch]
+    root = np.arange(len(value))
     while len(a):
         ra, rb = root[a], root[b]
         np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
@@ -25,11 +25,11 @@ def label4(grid: np.ndarray) -> np.ndarray:
             root = root[root]
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
-    out = np.zeros(n, np.int32)
-    used = flat != 0
-    _, out[used] = np.unique(root[used], return_inverse=True)
-    out[used] += 1
-    return out.reshape(h, w)
+    number = np.zeros(len(value), np.int32)
+    used = value != 0
+    _, number[used] = np.unique(root[used], return_inverse=True)
+    number[used] += 1
+    return number[run]
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 20, seed: int = 12345) -> np.ndarray:
@@ -59,8 +59,9 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 20, seed: int = 12345) -> n
 def nearest(points: np.ndarray, centres: np.ndarray, block: int = 65_536) -> np.ndarray:
     """Number of each point's nearest centre, the first on ties."""
     out = np.empty(len(points), np.int64)
+    half = (centres**2).sum(1) / 2  # half the squared distance, but for what is the same for all centres
     for at in range(0, len(points), block):
-        out[at : at + block] = ((points[at : at + block, None] - centres[None]) ** 2).sum(2).argmin(1)
+        out[at : at + block] = (half - points[at : at + block] @ centres.T).argmin(1)
     return out
 
 
@@ -80,35 +81,6 @@ def carrying_colors(rgb: np.ndarray, radius: float = 38.0, share: float = 0.97,
     return balls
 
 
-def absorb_small(parts: np.ndarray, colors: np.ndarray, least: int) -> np.ndarray:
-    """parts with every area of fewer than least pixels joined, smallest first, to the neighbour of the closest mean colour; ties go to the lowest number. A part that has grown to least pixels stays."""
-    count = np.bincount(parts.ravel()).astype(float)
-    total = np.stack([np.bincount(parts.ravel(), colors[..., c].ravel()) for c in range(colors.shape[-1])], 1)
-    near: dict[int, set[int]] = {int(p): set() for p in np.flatnonzero(count) if p}
-    for a, b in ((parts[:, :-1], parts[:, 1:]), (parts[:-1], parts[1:])):
-        touch = (a != b) & (a > 0) & (b > 0)
-        for x, y in np.unique(np.stack([a[touch], b[touch]], 1), axis=0).tolist():
-            near[x].add(y)
-            near[y].add(x)
-    to = np.arange(len(count))
-    for p in sorted((p for p in near if count[p] < least), key=lambda p: (count[p], p)):
-        if count[p] >= least or not near[p]:
-            continue
-        mean = total[p] / count[p]
-        q = min(sorted(near[p]), key=lambda n: float(((total[n] / count[n] - mean) ** 2).sum()))
-        to[p] = q
-        count[q] += count[p]
-        total[q] += total[p]
-        for n in near.pop(p):
-            near[n].discard(p)
-            if n != q:
-                near[n].add(q)
-                near[q].add(n)
-    while (to != to[to]).any():
-        to = to[to]
-    return to[parts]
-
-
 def contours(mask: np.ndarray) -> list[np.ndarray]:
     """Closed rings (x, y) half way between the mask and what is outside, the mask on the left; a pixel spans from its number to the next. Where two of its pixels meet only at a corner the rings keep them apart."""
     m = np.pad(mask.astype(bool), 1)

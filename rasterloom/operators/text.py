@@ -38,6 +38,11 @@ def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(kb < d(1024), F.concat(F.format_string("%.1f", kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", kb / d(1024)), F.lit(" MB")))
 
 
+def human(n: int) -> str:
+    """human_bytes of one number."""
+    return f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB"
+
+
 def count_nodes(document: Column) -> Column:
     """Path commands inside the d attributes of a document."""
     paths = F.array_join(F.regexp_extract_all(document, F.lit(r'\sd="([^"]*)"'), F.lit(1)), " ")

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from rasterloom.functions import curves, kernels
+from rasterloom.functions import curves, kernels, segments
 from rasterloom.plans.trace import trace
 from rasterloom.sources.rasters import procedural
 
@@ -43,7 +43,7 @@ def test_kmeans_and_absorption():
     assert sorted(np.round(kernels.kmeans(points, 3).mean(1) / 100).astype(int)) == [0, 1, 2]
     parts = np.ones((5, 5), np.int64)
     parts[2, 2] = 2
-    assert (kernels.absorb_small(parts, np.zeros((5, 5, 3)), 3) == 1).all()
+    assert (segments.absorb(parts, np.zeros((5, 5, 3)), 3) == 1).all()
     assert kernels.carrying_colors(np.array([[0, 0, 0]] * 50 + [[255, 0, 0]] * 50)) == 2
 
 
