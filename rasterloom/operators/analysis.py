@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neighbourhood import median9, spread9, with_block
-from .pixels import d, luma, packed15
+from .pixels import d, lab, luma, packed15
+from .regions import clear_backdrop, components
 
 #: Limits of the content classes.
 TEXTURE, SPREAD, FLATNESS, COLOURS, LEAST_SAMPLES, STEP = 1.6, 0.35, 0.6, 900, 32, 6
@@ -49,3 +50,40 @@ def backdrop_candidates(pixels: DataFrame, tolerance: float = 12.0) -> DataFrame
     border = border_statistics(pixels)
     far = F.greatest(*(F.abs(F.col(c) - F.col(f"m{c}")) for c in "rgb"))
     return pixels.join(border, "image_id").filter((far <= d(tolerance)) & (F.col("a") > 0)).select(pixels.columns)
+
+
+def silhouette(pixels: DataFrame) -> DataFrame:
+    """Pixels of at least half coverage, or in an image without any, those with some."""
+    most = pixels.groupBy("image_id").agg(F.max("a").alias("__most"))
+    return pixels.join(most, "image_id").filter(F.when(F.col("__most") >= 128, F.col("a") >= 128).otherwise(F.col("a") > 0)).drop("__most")
+
+
+def translucency(pixels: DataFrame, limit: float = 0.06) -> DataFrame:
+    """image_id, the share of pixels with alpha below 0.9, and whether it exceeds limit."""
+    share = F.avg((F.col("a") < d(0.9 * 255)).cast("double"))
+    return pixels.groupBy("image_id").agg(F.round(share, 6).alias("share"), (share > d(limit)).alias("translucent"))
+
+
+def features(pixels: DataFrame, alpha_weight: float = 45.0) -> DataFrame:
+    """Lab of each pixel, and alpha times alpha_weight in translucent images, else null."""
+    l, a, b = lab()  # noqa: E741
+    marked = pixels.join(translucency(pixels).select("image_id", "translucent"), "image_id")
+    return marked.withColumns({"f1": l, "f2": a, "f3": b, "f4": F.when(F.col("translucent"), F.col("a") / d(255) * d(alpha_weight))})
+
+
+def backdrop_verdict(pixels: DataFrame, tolerance: float = 12.0, uniform: float = 12.0, least: float = 0.02, most: float = 0.97, islands: int = 32) -> DataFrame:
+    """Per image the border's deviation, the share of pixels that a backdrop reaching in from the edge would clear, the islands that would be left
+    inside, and whether it should go: not where the border is uneven, the share not believable or the islands many."""
+    cleared = clear_backdrop(pixels, backdrop_candidates(pixels, tolerance))
+    flagged = pixels.select("image_id", "y", "x", F.col("a").alias("was")).join(cleared.select("image_id", "y", "x", "a"), ["image_id", "y", "x"])
+    flagged = flagged.withColumn("label", ((F.col("a") > 0) | (F.col("was") == 0)).cast("int"))
+    shares = flagged.groupBy("image_id").agg(F.avg(1 - F.col("label").cast("double")).alias("share"), F.max("y").alias("h"), F.max("x").alias("w"))
+    parts = components(flagged.select("image_id", "y", "x", "label")).filter("component > 0").join(shares.select("image_id", "h", "w"), "image_id")
+    inner = parts.groupBy("image_id", "component").agg(F.max(F.expr("y = 0 OR x = 0 OR y = h OR x = w")).alias("outer")).groupBy("image_id").agg(F.count_if(~F.col("outer")).alias("islands"))
+    told = border_statistics(pixels).select("image_id", "deviation").join(shares, "image_id").join(inner, "image_id", "left").withColumn("islands", F.coalesce("islands", F.lit(0)))
+    goes = (F.col("deviation") <= d(uniform)) & F.col("share").between(d(least), d(most)) & (F.col("islands") <= islands)
+    return told.select("image_id", F.round("deviation", 6).alias("deviation"), F.round("share", 6).alias("share"), "islands", goes.alias("goes"))
+
+
+def summary_line(kind: str = "kind", texture: str = "texture", flatness: str = "flatness") -> Column:
+    return F.format_string("%s: texture %.2f, %.0f %% flat", F.col(kind), F.col(texture), F.col(flatness) * d(100))

@@ -91,3 +91,46 @@ def overlay(defaults: DataFrame, own: DataFrame) -> DataFrame:
 def warnings(kind: Column, preset: Column, downscaled: Column) -> Column:
     photo = F.when((kind == "photo") & ~preset.isin("photo", "poster"), "photographic content under a drawing preset")
     return F.array_compact(F.array(photo, F.when(downscaled, "the image was reduced")))
+
+
+def batch_summary(results: DataFrame, most_notes: int = 6) -> DataFrame:
+    """One row: images, mean similarity of those scored, bytes, summed seconds, the first notes by name, and how many more there are. results: name, similarity, svg_bytes, seconds, note (null for none)."""
+    order = Window.orderBy("name")
+    sums = results.agg(F.count("*").alias("images"), F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.sum("svg_bytes").cast("long").alias("svg_bytes"), F.round(F.sum("seconds"), 6).alias("seconds"), F.count("note").alias("__notes"))
+    first = results.filter("note IS NOT NULL").orderBy("name").limit(most_notes).withColumn("__at", F.row_number().over(order)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "note"))), lambda s: s["note"]), "; ").alias("notes"))
+    return sums.crossJoin(F.broadcast(first)).withColumn("more_notes", F.greatest(F.lit(0), F.col("__notes") - most_notes)).drop("__notes")
+
+
+def ramp_count(paints: DataFrame, keys: list[str], kind: str = "kind") -> DataFrame:
+    return paints.groupBy(*keys).agg(F.count_if(F.col(kind) != "flat").alias("gradients"))
+
+
+def selected(jobs: DataFrame, done: DataFrame, keys: list[str], only: DataFrame | None = None) -> DataFrame:
+    """The jobs to run: those of only, whether stale or not, or without it the stale ones. Unknown keys in only run nothing."""
+    return stale(jobs, done, keys) if only is None else jobs.join(only, only.columns, "left_semi")
+
+
+def outdated_count(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    return stale(jobs, done, keys).agg(F.count("*").alias("outdated"))
+
+
+def rejected(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """files (path, ord, length) with the reason why one is not taken: missing, unsupported, or a path that came before; null for the others."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    again = F.row_number().over(Window.partitionBy("path").orderBy("ord")) > 1
+    return files.withColumn("reason", F.when(F.col("length").isNull(), "missing").when(~suffix.isin(*suffixes), "unsupported").when(again, "duplicate"))
+
+
+def collected(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """The paths of files (path, ord, length) that are there and supported, each where it first came."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return files.filter(F.col("length").isNotNull() & suffix.isin(*suffixes)).groupBy("path").agg(F.min("ord").alias("ord"))
+
+
+def uploads(rows: DataFrame, suffixes: tuple[str, ...], most_bytes: int = 64 << 20) -> DataFrame:
+    """rows (name, payload in base64) with content and the reason why one is refused: suffix, empty, not base64, too large."""
+    suffix = F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1))
+    whole = F.regexp_like(F.col("payload"), F.lit(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
+    size = (F.length("payload") / 4 * 3).cast("long") - F.length(F.regexp_extract("payload", "=*$", 0))
+    reason = F.when(~suffix.isin(*suffixes), "suffix").when(F.coalesce(F.length("payload"), F.lit(0)) == 0, "empty").when(~whole, "not base64").when(size > most_bytes, "too large")
+    return rows.withColumn("reason", reason).withColumn("content", F.when(F.col("reason").isNull(), F.unbase64("payload")))

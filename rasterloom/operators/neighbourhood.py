@@ -86,3 +86,48 @@ def median_rgb(pixels: DataFrame) -> DataFrame:
     for c in ("r", "g", "b"):
         out = with_block(out, F.col(c), f"__{c}").withColumn(f"__{c}", median9(f"__{c}"))
     return out.select("image_id", "y", "x", F.col("__r").alias("r"), F.col("__g").alias("g"), F.col("__b").alias("b"), "a")
+
+
+def _ring(radius: int) -> Column:
+    offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+    return F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dy * dy + dx * dx).alias("far")) for dy, dx in offsets])).alias("s")
+
+
+def nearest_donor(pixels: DataFrame, takes: str, gives: str, radius: int) -> DataFrame:
+    """Pixels where takes holds with the colour of the nearest pixel within radius where gives holds (of equal ones the first by row and column); without one, and all others, as they are.
+
+    Givers reach out over a fixed ring, so nothing is compared with a whole image."""
+    reach = pixels.filter(gives).select("image_id", "y", "x", F.struct("r", "g", "b").alias("rgb"), _ring(radius))
+    best = reach.groupBy("image_id", (F.col("y") + F.col("s.dy")).alias("ty"), (F.col("x") + F.col("s.dx")).alias("tx")).agg(F.min_by("rgb", F.struct("s.far", "y", "x")).alias("given"))
+    met = pixels.join(best.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "given"), ["image_id", "y", "x"], "left")
+    taken = F.expr(takes) & F.col("given").isNotNull()
+    return met.select("image_id", "y", "x", *(F.when(taken, F.col(f"given.{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"), "a")
+
+
+def repair_colors(pixels: DataFrame, radius: int = 2) -> DataFrame:
+    """Soft pixels near the outside (alpha below 0.02) with the colour of the nearest pixel that is kept: alpha of 0.9, or farther than radius from the outside. As they are in images without an outside."""
+    far = distance_within(pixels, "a < 5.1", radius)
+    kept = (F.col("a") >= 229.5) | ((F.col("a") >= 5.1) & F.col("distance").isNull())
+    return nearest_donor(far.withColumn("kept", kept), "NOT kept", "kept", 2 * radius + 1)
+
+
+def coverage(pixels: DataFrame, radius: int = 2, floor: float = 0.25) -> DataFrame:
+    """coverage: alpha, raised by the distance to the outside where no pixel of the window is nearly opaque and alpha reaches floor."""
+    around = window_max(pixels, "a", radius, "__most")
+    far = distance_within(around, "a < 5.1", radius)
+    alpha = F.col("a") / F.lit(255.0)
+    raised = alpha + (F.lit(1.0) - alpha) * F.least(F.lit(1.0), F.coalesce(F.col("distance"), F.lit(float(radius))) / F.lit(float(radius)))
+    return far.withColumn("coverage", F.when((alpha >= F.lit(floor)) & (F.col("__most") < 229.5), raised).otherwise(alpha)).drop("__most", "distance")
+
+
+def band_average(band: DataFrame, value: str, radius: int) -> DataFrame:
+    """average: mean of value over the band's own pixels in a square about each: two passes of row sums and counts, of which gaps take no part."""
+    near = lambda axis, other: Window.partitionBy("image_id", other).orderBy(axis).rangeBetween(-radius, radius)
+    if radius < 1:
+        return band.withColumn("average", F.col(value).cast("double"))
+    steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("step")
+    # a row's sum is wanted at places of other rows too, so pixels are first sent up and down their column
+    sent = band.select("image_id", "y", "x", F.col(value).cast("double").alias("v"), steps).select("image_id", (F.col("y") + F.col("step")).alias("y"), "x", "v")
+    columns = sent.groupBy("image_id", "y", "x").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    summed = columns.withColumns({"v": F.sum("v").over(near("x", "y")), "n": F.sum("n").over(near("x", "y"))})
+    return band.join(summed, ["image_id", "y", "x"]).withColumn("average", F.col("v") / F.col("n")).drop("v", "n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pixels import d
+from .text import attribute_number
 
 
 def flat_fit(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,3 +56,67 @@ def radial_offset(cx: float, cy: float, radius: float) -> Column:
     if radius <= 0:
         return F.lit(None).cast("double")
     return F.least(d(1), F.sqrt((F.col("x") - d(cx)) * (F.col("x") - d(cx)) + (F.col("y") - d(cy)) * (F.col("y") - d(cy))) / d(radius))
+
+
+def extrapolated(near_at: Column, near: Column, far_at: Column, far: Column, to: Column, most: float = 255.0) -> Column:
+    """A stop's value at to in line with the two nearest ones, within 0 and most."""
+    by = F.coalesce(F.try_divide(to - near_at, F.nullif(near_at - far_at, d(0))), d(0))
+    return F.least(d(most), F.greatest(d(0), near + (near - far) * by))
+
+
+def alpha_error(actual: Column, predicted: Column, weight: float) -> Column:
+    """An aggregate: the weighted mean error of alpha."""
+    return F.avg(F.abs(actual - predicted)) * d(weight)
+
+
+def residual(pixels: DataFrame, keys: list[str], painted: tuple[Column, Column, Column], alpha: Column, alpha_weight: float = 90.0) -> DataFrame:
+    """Mean weighted distance of each region's pixels from their painted colour, and the weighted error of alpha; null painted colours give an infinite residual."""
+    far = redmean_of([F.col(c).cast("double") for c in "rgb"], painted)
+    sums = pixels.groupBy(*keys).agg(F.avg(far).alias("m"), alpha_error(F.col("a") / d(255), alpha, alpha_weight).alias("e"), F.count_if(painted[0].isNull()).alias("none"))
+    return sums.select(*keys, F.when(F.col("none") > 0, d(float("inf"))).otherwise(F.round(F.col("m") + F.col("e"), 6)).alias("residual"))
+
+
+def redmean_of(a, b) -> Column:
+    mean = (a[0] + b[0]) / d(2)
+    r, g, b_ = (x - y for x, y in zip(a, b, strict=True))
+    return F.sqrt(((d(2) + mean / d(256)) * r * r + d(4) * g * g + (d(2) + (d(255) - mean) / d(256)) * b_ * b_) / d(3))
+
+
+def directions(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """The squared rise of all channels along the direction in which they rise most, and that direction's squared share of x: both without the arbitrary sign. From sums alone."""
+    wide = [slopes(pixels, keys, c).select(*keys, F.col("gx").alias(f"{c}x"), F.col("gy").alias(f"{c}y")) for c in "rgb"]
+    met = wide[0].join(wide[1], keys).join(wide[2], keys)
+    xx, yy, xy = (sum((F.col(f"{c}{i}") * F.col(f"{c}{j}") for c in "rgb"), d(0)) for i, j in (("x", "x"), ("y", "y"), ("x", "y")))
+    half = F.sqrt((xx - yy) * (xx - yy) / d(4) + xy * xy)
+    share = F.try_divide((xx - yy) / d(2), F.nullif(half, d(0)))
+    return met.filter("rx IS NOT NULL").select(*keys, F.round((xx + yy) / d(2) + half, 4).alias("rise"), F.round((d(1) + F.coalesce(share, d(0))) / d(2), 4).alias("x_share"))
+
+
+def radial_valid(cx: Column, cy: Column, radius: Column, box: tuple[Column, Column, Column, Column], limit: float = 2.5) -> Column:
+    """Whether a ring ramp's centre is near enough to its region's bounds (left, top, right, bottom) and its radius not nothing."""
+    left, top, right, bottom = box
+    away = F.sqrt((cx - (left + right) / d(2)) * (cx - (left + right) / d(2)) + (cy - (top + bottom) / d(2)) * (cy - (top + bottom) / d(2)))
+    diagonal = F.sqrt((right - left) * (right - left) + (bottom - top) * (bottom - top))
+    return (away <= d(limit) * diagonal) & (radius > d(1e-6))
+
+
+def signal_channels(pixels: DataFrame, keys: list[str], least: float = 0.02) -> DataFrame:
+    """Whether alpha takes part in the fit of each region, and its mean on the scale of the colours if it does."""
+    share = F.col("a") / d(255)
+    return pixels.groupBy(*keys).agg((F.max(share) - F.min(share) >= d(least)).alias("with_alpha"), F.avg(share * d(255)).alias("__a")).select(*keys, "with_alpha", F.when(F.col("with_alpha"), F.round("__a", 6)).alias("signal"))
+
+
+def gradient_element(kind: Column, name: Column, shape: list[Column], stops: Column) -> Column:
+    """The gradient element of a ramp from an array of struct<offset, color, alpha>; null for a flat paint."""
+    keys = [F.when(kind == "linear", x).otherwise(y) for x, y in (("x1", "cx"), ("y1", "cy"), ("x2", "r"))]
+    place = [F.concat(F.lit(" "), k, F.lit('="'), attribute_number(v), F.lit('"')) for k, v in zip(keys, shape, strict=False)]
+    place.append(F.when(kind == "linear", F.concat(F.lit(' y2="'), attribute_number(shape[3]), F.lit('"'))).otherwise(""))
+    opacity = lambda s: F.when(s["alpha"] < d(0.995), F.concat(F.lit(' stop-opacity="'), attribute_number(s["alpha"], 3), F.lit('"'))).otherwise("")
+    one = lambda s: F.concat(F.lit('<stop offset="'), attribute_number(s["offset"], 3), F.lit('" stop-color="'), s["color"], F.lit('"'), opacity(s), F.lit("/>"))
+    body = F.array_join(F.transform(stops, one), "")
+    return F.when(kind != "flat", F.concat(F.lit("<"), kind, F.lit('Gradient id="'), name, F.lit('" gradientUnits="userSpaceOnUse"'), *place, F.lit(">"), body, F.lit("</"), kind, F.lit("Gradient>")))
+
+
+def paint_attributes(kind: Column, name: Column, color: Column, alpha: Column) -> Column:
+    opacity = F.when(alpha < d(0.995), F.concat(F.lit(' fill-opacity="'), attribute_number(alpha, 3), F.lit('"'))).otherwise("")
+    return F.when(kind == "flat", F.concat(F.lit('fill="'), color, F.lit('"'), opacity)).otherwise(F.concat(F.lit('fill="url(#'), name, F.lit(')"')))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import label4
 from ..functions.lineage import cut
-from .neighbourhood import along_column, along_row
+from .geometry import boxes_overlap
+from .neighbourhood import along_column, along_row, interior
 from .pixels import d
 
 
@@ -98,3 +99,58 @@ def clear_backdrop(pixels: DataFrame, candidates: DataFrame) -> DataFrame:
     touching = parts.join(size, "image_id").filter("component > 0 AND (y = 0 OR x = 0 OR y = h OR x = w)").select("image_id", "component").distinct()
     gone = parts.join(touching, ["image_id", "component"], "left_semi").select("image_id", "y", "x", F.lit(True).alias("__gone"))
     return pixels.join(gone, ["image_id", "y", "x"], "left").withColumn("a", F.when(F.col("__gone"), 0).otherwise(F.col("a"))).drop("__gone")
+
+
+def absorption_targets(stats: DataFrame, edges: DataFrame, gone: DataFrame, key: str = "component") -> DataFrame:
+    """For each part of gone (image_id, key) the neighbour that it would join: of those that stay if there is one, the closest in colour, then the lowest number."""
+    colour = lambda p, n: stats.select("image_id", F.col(key).alias(n), *(F.col(f"mean_{c}").alias(f"{p}{c}") for c in "rgb"))
+    leaving = gone.select("image_id", F.col(key).alias("other"), F.lit(True).alias("leaves"))
+    met = symmetric(edges).join(gone.select("image_id", F.col(key).alias("node")), ["image_id", "node"]).join(colour("p", "node"), ["image_id", "node"]).join(colour("q", "other"), ["image_id", "other"]).join(leaving, ["image_id", "other"], "left")
+    far = F.round(sum(((F.col(f"p{c}") - F.col(f"q{c}")) * (F.col(f"p{c}") - F.col(f"q{c}")) for c in "rgb"), d(0)), 3)
+    rank = F.struct(F.coalesce("leaves", F.lit(False)).alias("leaves"), far.alias("far"), F.col("other"))
+    return met.groupBy("image_id", F.col("node").alias(key)).agg(F.min_by("other", rank).alias("target"))
+
+
+def solid(parts: DataFrame, band: int, key: str = "component") -> DataFrame:
+    """Each part with the pixels of its inside, farther than band from any other part, and whether they are enough to be a shape."""
+    inside = interior(parts.withColumn("label", F.col(key)), band)
+    count = inside.groupBy("image_id", key).agg(F.count("*").alias("inner"))
+    every = parts.filter(F.col(key) > 0).select("image_id", key).distinct()
+    return every.join(count, ["image_id", key], "left").withColumn("inner", F.coalesce("inner", F.lit(0))).withColumn("solid", F.col("inner") >= max(4, band * band))
+
+
+def chain_shapes(parts: DataFrame, shapes: DataFrame, key: str = "label") -> DataFrame:
+    """Each chain of pixels of parts that are no solid shapes, with the sorted shapes that it touches, and whether it is on the raster's rim."""
+    own = parts.select("image_id", "y", "x", F.col(key).alias("part")).join(shapes.select("image_id", F.col(key).alias("part"), "solid"), ["image_id", "part"], "left")
+    named = components(own.withColumn("label", (~F.coalesce("solid", F.lit(True))).cast("int")).select("image_id", "y", "x", "part", "label", "solid"))
+    ahead = lambda c: F.array(*(f(c).over(w) for w in (along_row(), along_column()) for f in (F.lag, F.lead)))
+    near = named.withColumn("beside", ahead(F.when(F.col("solid"), F.col("part")))).withColumn("sides", ahead(F.lit(1)))
+    held = near.filter("component > 0")
+    shape = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact("beside")))))
+    return held.groupBy("image_id", F.col("component").alias("chain")).agg(shape.alias("shapes"), F.count("*").alias("pixels"), F.max(F.size(F.array_compact("sides")) < 4).alias("rim"))
+
+
+def largest(stats: DataFrame, key: str = "component") -> DataFrame:
+    """Each image's largest part, of equal ones the lowest, with its mean colour."""
+    order = F.struct(F.col("area"), -F.col(key))
+    return stats.groupBy("image_id").agg(F.max_by(F.struct(key, "mean_r", "mean_g", "mean_b"), order).alias("__p")).select("image_id", "__p.*")
+
+
+def overlapping(stats: DataFrame, key: str = "component", margin: float = 0.5) -> DataFrame:
+    """Pairs lo < hi of parts of an image whose bounds overlap, the one side grown by margin: an equi-join on the image, of parts, not of pixels."""
+    box = lambda n: stats.select("image_id", F.struct(F.col(key).alias("part"), F.col("left").alias("x0"), F.col("right").alias("x1"), F.col("top").alias("y0"), F.col("bottom").alias("y1")).alias(n))
+    met = box("a").join(box("b"), "image_id").filter((F.col("a.part") < F.col("b.part")) & boxes_overlap("a", "b", margin))
+    return met.select("image_id", F.col("a.part").alias("lo"), F.col("b.part").alias("hi"))
+
+
+def united(stats: DataFrame, pairs: DataFrame, key: str = "component") -> DataFrame:
+    """Pairs (lo, hi) as one region: summed area, members, and the neighbours of either without the two."""
+    side = lambda n: stats.select("image_id", F.col(key).alias(n), F.col("area").alias(f"{n}_area"), F.col("neighbours").alias(f"{n}_near"))
+    met = pairs.join(side("lo"), ["image_id", "lo"]).join(side("hi"), ["image_id", "hi"])
+    near = F.array_except(F.array_union("lo_near", "hi_near"), F.array("lo", "hi"))
+    return met.select("image_id", "lo", "hi", (F.col("lo_area") + F.col("hi_area")).alias("area"), F.array_join(F.array_sort(near).cast("array<string>"), ",").alias("neighbours"))
+
+
+def scattered(pixels: DataFrame, region_pixels: DataFrame) -> DataFrame:
+    """region: the number of the region that a pixel belongs to, 0 outside of all."""
+    return pixels.join(region_pixels.select("image_id", "y", "x", "region"), ["image_id", "y", "x"], "left").withColumn("region", F.coalesce("region", F.lit(0)))

@@ -35,7 +35,7 @@ def hex_color(r: Column, g: Column, b: Column) -> Column:
 
 def human_bytes(n: Column) -> Column:
     kb = n / d(1024)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(kb < d(1024), F.concat(F.format_string("%.1f", kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", kb / d(1024)), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(kb < d(1024), F.concat(F.format_string("%.1f", F.bround(kb, 1)), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(kb / d(1024), 1)), F.lit(" MB")))
 
 
 def human(n: int) -> str:

@@ -96,12 +96,12 @@ def flood(of: str, name: str = "cp") -> tuple[str, ...]:
     )
 
 
-RINGS = "rg AS (SELECT image_id, y AS ring, x AS seq, CAST(r AS DOUBLE) AS x, CAST(g AS DOUBLE) AS y FROM px WHERE x < 12)"
+RINGS = "rg AS (SELECT image_id, y AS ring, x AS seq, CAST(r AS DOUBLE) AS x, CAST(g AS DOUBLE) AS y FROM px)"
 
 
 def around(of: str, reach: int, name: str) -> str:
     return f"""{name} AS (SELECT p.image_id, p.ring, p.seq, p.x, p.y, b.x AS bx, b.y AS cy, f.x AS fx, f.y AS fy FROM {of} p
-  JOIN {of} b ON b.image_id = p.image_id AND b.ring = p.ring AND b.seq = (p.seq + 12 - {reach}) % 12 JOIN {of} f ON f.image_id = p.image_id AND f.ring = p.ring AND f.seq = (p.seq + {reach}) % 12)"""
+  JOIN {of} b ON b.image_id = p.image_id AND b.ring = p.ring AND b.seq = (p.seq + 64 - {reach}) % 64 JOIN {of} f ON f.image_id = p.image_id AND f.ring = p.ring AND f.seq = (p.seq + {reach}) % 64)"""
 
 
 def eased(of: str, name: str) -> str:
@@ -172,7 +172,7 @@ SELECT image_id, label, min(target) AS target FROM fo GROUP BY ALL""",
     "polygon_area": q(RINGS, around("rg", 1, "a1"), select="SELECT image_id, ring, round(abs(sum(x * fy - y * fx)) / 2.0::DOUBLE, 6) AS area FROM a1 GROUP BY ALL"),
     "smooth_polyline": q(RINGS, around("rg", 1, "a1"), eased("a1", "s1"), around("s1", 1, "a2"), eased("a2", "s2"), select="SELECT * FROM s2"),
     "turn_angles": q(RINGS, around("rg", 2, "a1"), "uv AS (SELECT image_id, ring, seq, x - bx AS ux, y - cy AS uy, fx - x AS vx, fy - y AS vy FROM a1)", select="SELECT image_id, ring, seq, round(COALESCE(degrees(acos(greatest(-1, least(1, (ux * vx + uy * vy) / nullif(sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy), 0))))), 0), 6) AS turn FROM uv"),
-    "chord_parameters": q(RINGS, "st AS (SELECT *, COALESCE(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS s FROM rg WINDOW w AS (PARTITION BY image_id, ring ORDER BY seq))", select="SELECT image_id, ring, seq, round(COALESCE(sum(s) OVER (PARTITION BY image_id, ring ORDER BY seq ROWS UNBOUNDED PRECEDING) / nullif(sum(s) OVER (PARTITION BY image_id, ring), 0), seq / 11.0::DOUBLE), 6) AS t FROM st"),
+    "chord_parameters": q(RINGS, "st AS (SELECT *, COALESCE(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS s FROM rg WINDOW w AS (PARTITION BY image_id, ring ORDER BY seq))", select="SELECT image_id, ring, seq, round(COALESCE(sum(s) OVER (PARTITION BY image_id, ring ORDER BY seq ROWS UNBOUNDED PRECEDING) / nullif(sum(s) OVER (PARTITION BY image_id, ring), 0), seq / 63.0::DOUBLE), 6) AS t FROM st"),
     "drop_repeats": q(RINGS, "co AS (SELECT image_id, ring, seq, floor(x / 100.0::DOUBLE) AS x, floor(y / 100.0::DOUBLE) AS y FROM rg)", select="SELECT * FROM co WINDOW w AS (PARTITION BY image_id, ring ORDER BY seq) QUALIFY NOT COALESCE(x = lag(x) OVER w AND y = lag(y) OVER w, false)"),
     "bezier_points": q("tt AS (SELECT *, x / 64.0::DOUBLE AS t, 1.0::DOUBLE - x / 64.0::DOUBLE AS u FROM px)", select="SELECT image_id, y, x, round(u * u * u * r + 3.0::DOUBLE * u * u * t * g + 3.0::DOUBLE * u * t * t * b + t * t * t * a, 6) AS point FROM tt"),
     "hex_colors": q(select="SELECT image_id, y, x, printf('#%02X%02X%02X', r, g, b) AS color FROM px"),
@@ -180,7 +180,7 @@ SELECT image_id, label, min(target) AS target FROM fo GROUP BY ALL""",
     "node_count": q(select="SELECT image_id, y, x, CAST(3 + CASE WHEN g > 100 THEN 1 ELSE 0 END AS INT) AS nodes FROM px"),
     "paint_order": q(LABELS, select="SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, label) AS INT) AS z FROM lb GROUP BY image_id, label"),
     "latest_job_state": "SELECT user_id, arg_max(event_id, row(ts, event_id)) AS event_id, arg_max(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id",
-    "stale_jobs": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)",
+    "stale_jobs": "SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE (user_id, strftime(ts, '%Y-%m-%d')) NOT IN (SELECT (user_id, strftime(ts, '%Y-%m-%d')) FROM events WHERE event_type = 'purchase')",
     "baseline_compare": q(LABELS, summary("lb", "label"), "sc AS (SELECT CAST(image_id AS VARCHAR) AS name, round(avg(mean_r) / 255.0::DOUBLE, 6) AS score FROM st GROUP BY image_id)", "ws AS (SELECT CAST(i AS VARCHAR) AS name, 0.49::DOUBLE AS was FROM range(12) t(i))", select="SELECT name, was, score, CASE WHEN score IS NULL THEN 'missing' ELSE 'lower' END AS complaint FROM ws LEFT JOIN sc USING (name) WHERE score IS NULL OR score < was - 0.01::DOUBLE"),
     "resize_lanczos": resized(32, 25, "lanczos"),
     "supersample_bilinear": resized(128, 100, "bilinear"),

@@ -9,7 +9,7 @@ from ..operators import analysis, batch, geometry, neighbourhood, paint, pixels,
 from ..operators.pixels import d
 from ..sources import rasters
 from ..sources.rasters import from_embeddings
-from . import oracle, scoring, trace
+from . import extended, oracle, scoring, trace
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def stop_interpolation(spark, sf_dir):
 
 
 def _rings(spark, sf_dir):
-    return raster(spark, sf_dir).filter("x < 12").select("image_id", F.col("y").alias("ring"), F.col("x").alias("seq"), F.col("r").cast("double").alias("x_"), F.col("g").cast("double").alias("y_")).toDF("image_id", "ring", "seq", "x", "y")
+    return raster(spark, sf_dir).select("image_id", F.col("y").alias("ring"), F.col("x").alias("seq"), F.col("r").cast("double").alias("x_"), F.col("g").cast("double").alias("y_")).toDF("image_id", "ring", "seq", "x", "y")
 
 
 RING = ["image_id", "ring"]
@@ -226,8 +226,8 @@ def latest_job_state(spark, sf_dir):
 
 def stale_jobs(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    done = events.filter("event_type = 'purchase' AND event_id % 5 = 0").select("user_id").distinct()
-    return batch.stale(events.select("user_id").distinct(), done, ["user_id"])
+    of = lambda rows: rows.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    return batch.stale(of(events), of(events.filter("event_type = 'purchase'")), ["user_id", "day"])
 
 
 def baseline_compare(spark, sf_dir):
@@ -283,8 +283,8 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {name: f for name, (f, _) in extended.EXTENDED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return dict(oracle.SQL) | {name: sql for name, (_, sql) in extended.EXTENDED.items()}
