@@ -42,17 +42,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark, sf_dir):
-    """The rows of the last stage. Each stage's rows are written as Parquet into the shared folder and read back."""
+    """The rows of the last stage. Each stage's rows are written as Parquet into the shared folder and read back; what a stage has read is removed once its own rows are written."""
     import uuid
 
     from rasterloom.llm.common import shared_folder
 
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{number}"
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            if read:
+                _remove(spark, read)
+            docs, read = spark.read.parquet(path), path
     return docs

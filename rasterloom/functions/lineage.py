@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,8 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-checkpoints-"))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df, which must be cheap to count, marked for broadcast only if it has at most most_rows rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -81,11 +81,9 @@ def distance_within(pixels: DataFrame, outside: str, radius: int) -> DataFrame:
 
 
 def median_rgb(pixels: DataFrame) -> DataFrame:
-    """Denoised pixels: the 3 x 3 median of each colour channel; alpha stays."""
-    out = pixels
-    for c in ("r", "g", "b"):
-        out = with_block(out, F.col(c), f"__{c}").withColumn(f"__{c}", median9(f"__{c}"))
-    return out.select("image_id", "y", "x", F.col("__r").alias("r"), F.col("__g").alias("g"), F.col("__b").alias("b"), "a")
+    """Denoised pixels: the 3 x 3 median of each colour channel, all three in one pass; alpha stays."""
+    middle = lambda c: F.element_at(F.sort_array(F.transform("__rgb", lambda v: v[c])), 5).alias(c)
+    return with_block(pixels, F.struct("r", "g", "b"), "__rgb").select("image_id", "y", "x", *map(middle, "rgb"), "a")
 
 
 def _ring(radius: int) -> Column:

@@ -14,6 +14,10 @@ from .neighbourhood import along_column, along_row, interior
 from .pixels import d
 
 
+#: Centres of a palette at most: they travel to the pixels in one array.
+MOST_CENTRES = 4096
+
+
 def components(labels: DataFrame, label: str = "label") -> DataFrame:
     """component: number of each 4-connected area of one label, in raster order from 1 within an image; label 0 is none.
 
@@ -73,6 +77,8 @@ def doomed(worth: DataFrame, min_area: int, budget: int, key: str = "component")
 
 def assign(pixels: DataFrame, centres: DataFrame) -> DataFrame:
     """label: the nearest centre (k, cr, cg, cb) of each pixel, the first on ties. Centres are a palette of bounded size, collected into one array."""
+    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"a palette has at most {MOST_CENTRES} centres")
     few = centres.agg(F.array_sort(F.collect_list(F.struct("k", "cr", "cg", "cb"))).alias("__c"))
     far = lambda c: (F.col("r") - c["cr"]) * (F.col("r") - c["cr"]) + (F.col("g") - c["cg"]) * (F.col("g") - c["cg"]) + (F.col("b") - c["cb"]) * (F.col("b") - c["cb"])
     near = F.array_min(F.transform("__c", lambda c: F.struct(far(c).alias("far"), c["k"].alias("k"))))

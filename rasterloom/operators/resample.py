@@ -1,7 +1,7 @@
 """Separable resampling: each axis is one join of the pixels with a table of weights and one aggregation.
 
 The weights depend on the pair of lengths alone, so their table grows with the different sizes of images, not with the
-images; the optimizer broadcasts it where it is small. Sums are rounded to six places before they become levels, so that
+images; it is broadcast where a count of its rows says that it is small. Sums are rounded to six places before they become levels, so that
 the order of addition does not matter.
 """
 
@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import broadcast_if_small
 from .pixels import d
 
 CHANNELS = ("r", "g", "b", "a")
@@ -62,7 +63,7 @@ def _along(pixels: DataFrame, axis: str, method: str) -> DataFrame:
     other = "y" if axis == "x" else "x"
     table = taps(pixels.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out")).distinct(), method).withColumnsRenamed({"n_in": n_in, "n_out": n_out, "s": axis})
     size = ["width", "height", "to_width", "to_height"]
-    met = pixels.join(table, [n_in, n_out, axis])
+    met = pixels.join(broadcast_if_small(table), [n_in, n_out, axis])
     return met.groupBy("image_id", other, F.col("o").alias("__o"), *size).agg(*(_level(F.sum(F.col(c) * F.col("w"))).alias(c) for c in CHANNELS)).withColumnRenamed("__o", axis)
 
 

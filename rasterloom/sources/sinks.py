@@ -42,8 +42,15 @@ def write_documents(documents: DataFrame, folder: str, name: str = "image_id", c
     return named.mapInArrow(write, "destination string, svg_bytes long, error string")
 
 
-def json_report(results: DataFrame) -> DataFrame:
-    """One row of JSON with the rows that were converted and those that failed."""
-    row = F.struct(*results.columns)
+def json_lines(results: DataFrame) -> DataFrame:
+    """A line of JSON for each result, without its document."""
+    return results.select(F.to_json(F.struct(*(c for c in results.columns if c != "svg"))).alias("line"))
+
+
+def json_report(results: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """One row of JSON with the results that were converted and those that failed, without their documents: for batches of at most most_rows; see json_lines for larger ones."""
+    if results.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"over {most_rows} results do not belong into one row; write json_lines")
+    row = F.struct(*(c for c in results.columns if c != "svg"))
     lists = results.agg(F.array_sort(F.collect_list(F.when(F.col("ok"), row))).alias("converted"), F.array_sort(F.collect_list(F.when(~F.col("ok"), row))).alias("failed"))
     return lists.select(F.to_json(F.struct("converted", "failed")).alias("report"))
