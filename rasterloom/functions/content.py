@@ -118,8 +118,8 @@ def drop_backdrop(r: np.ndarray, tolerance: float = 12.0) -> tuple[np.ndarray, b
 
 def lab(rgb: np.ndarray) -> np.ndarray:
     """CIE L*a*b* of sRGB levels for the D65 white and the two-degree observer."""
-    v = rgb / 255.0
-    v = np.where(v > 0.04045, ((v + 0.055) / 1.055) ** 2.4, v / 12.92)
+    level = np.arange(256) / 255.0
+    v = np.where(level > 0.04045, ((level + 0.055) / 1.055) ** 2.4, level / 12.92)[rgb.astype(np.uint8)]
     m = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
     t = v @ m.T / np.array([0.95047, 1.0, 1.08883])
     f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)

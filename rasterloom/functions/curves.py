@@ -42,7 +42,9 @@ def corners(points: np.ndarray, span: int, degrees: float = 62.0) -> list[int]:
 
 def bezier(control: np.ndarray, t: np.ndarray) -> np.ndarray:
     u = 1 - t
-    return np.stack([u**3, 3 * u * u * t, 3 * u * t * t, t**3], 1) @ control
+    out = np.empty((len(t), 4))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = u * u * u, 3 * u * u * t, 3 * u * t * t, t * t * t
+    return out @ control
 
 
 def _one(points: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ def _one(points: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray)
     gram, right = rows.T @ rows, rows.T @ (points - fixed).ravel()
     chord = float(np.hypot(*(points[-1] - points[0])))
     det = gram[0, 0] * gram[1, 1] - gram[0, 1] * gram[1, 0]
-    reach = np.linalg.solve(gram, right) if det > 1e-12 else np.full(2, chord / 3)
+    reach = np.array([right[0] * gram[1, 1] - right[1] * gram[0, 1], right[1] * gram[0, 0] - right[0] * gram[1, 0]]) / det if det > 1e-12 else np.full(2, chord / 3)
     if (reach < 1e-6 * max(chord, 1e-12)).any():
         reach = np.full(2, chord / 3)
     return np.stack([points[0], points[0] + start * reach[0], points[-1] + end * reach[1], points[-1]])

@@ -69,8 +69,12 @@ def carrying_colors(rgb: np.ndarray, radius: float = 38.0, share: float = 0.97,
     """How many balls of a radius, each about the fullest bin not yet covered, hold that share of the colours."""
     if not len(rgb):
         return 0
-    bins, n = np.unique(rgb.astype(int) // width, axis=0, return_counts=True)
-    middle = bins * width + width / 2
+    side = 256 // width + 1
+    q = rgb.astype(np.int64) // width
+    every = np.bincount((q[:, 0] * side + q[:, 1]) * side + q[:, 2], minlength=side**3)
+    code = np.flatnonzero(every)
+    n = every[code]
+    middle = np.stack([code // (side * side), code // side % side, code % side], 1) * width + width / 2
     open_, covered, balls = np.ones(len(n), bool), 0, 0
     while covered < share * n.sum():
         at = int(np.where(open_, n, -1).argmax())

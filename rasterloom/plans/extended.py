@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, batch, geometry, neighbourhood, paint, regions, text
 from ..operators.pixels import d
-from ..sources.rasters import SUFFIXES, from_embeddings
+from ..sources.rasters import DRAWINGS, DRAWN, SUFFIXES, drawn, from_embeddings
 from .oracle import ADJACENT, BORDER, CONTRAST, LABELS, RINGS, SHIFTS, SYMMETRIC, _f, _linear, around, flood, q, summary
 
 #: name: (query, SQL)
@@ -433,6 +433,21 @@ def upload_checks(spark, sf_dir):
     return batch.uploads(rows, SUFFIXES, 2000).select("doc_id", "reason", F.coalesce(F.octet_length("content").cast("long"), F.lit(-1)).alias("bytes"))
 
 
+def _drawn(shrink: int) -> str:
+    parts = []
+    for k, ((_, width, height, _), drawing) in enumerate(zip(DRAWN, DRAWINGS, strict=True)):
+        w, h = width // shrink, height // shrink
+        places = f"SELECT CAST(i // {w} AS INT) AS y, CAST(i % {w} AS INT) AS x, {w}::DOUBLE AS w, {h}::DOUBLE AS h FROM range({w * h}) t(i)"
+        parts.append(f"SELECT {k}::BIGINT AS image_id, y, x, CAST({drawing} AS INT) AS c FROM (SELECT *, x / w AS u, y / h AS v FROM ({places}))")
+    return f"SELECT image_id, y, x, COALESCE(c // 65536, 0) AS r, COALESCE(c // 256 % 256, 0) AS g, COALESCE(c % 256, 0) AS b, CASE WHEN c IS NULL THEN 0 ELSE 255 END AS a FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_drawn(4))
+def drawn_corpus(spark, sf_dir):
+    """The images that traces are timed and scored on, a quarter as wide and high."""
+    return drawn(spark, 4)
+
+
 @query(q(LABELS, summary("lb", "label"), select="SELECT label, round(avg(mean_r), 6) AS similarity, round(avg(mean_g), 6) AS edges FROM st GROUP BY label"))
 def benchmark_means(spark, sf_dir):
     """Unweighted means of scores by preset, here of the labels of all rasters."""

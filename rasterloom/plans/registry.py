@@ -268,6 +268,24 @@ def trace_drawn(spark, sf_dir):
     return trace.trace(rasters.procedural(spark, 64))
 
 
+def trace_benchmark(spark, sf_dir):
+    """The drawn images in full size, each under its preset; without SQL, since tracing has none."""
+    return trace_presets(rasters.drawn(spark), {k: preset for k, (_, _, _, preset) in enumerate(rasters.DRAWN)})
+
+
+def trace_presets(pixels: DataFrame, presets: dict[int, str]) -> DataFrame:
+    out = None
+    for preset in sorted(set(presets.values())):
+        part = trace.trace(pixels.filter(F.col("image_id").isin(*(k for k, p in presets.items() if p == preset))), preset)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def trace_variants(spark, sf_dir):
+    """Documents of the drawn rasters at three merge tolerances from one segmentation; without SQL."""
+    return trace.trace(rasters.procedural(spark, 64), "auto", thresholds=[0.4, 0.8, 6.0], background="auto")
+
+
 def trace_scores(spark, sf_dir):
     """How well the documents of the drawn rasters match them; without SQL, since tracing has none."""
     return scoring.scores(rasters.procedural(spark, 64), trace_drawn(spark, sf_dir))
@@ -278,7 +296,7 @@ QUERIES = (
     border_statistics, backdrop_candidates, boundary_mask, dilate_mask, distance_to_outside, components, component_summary, component_sizes, label_adjacency, adjacency_map,
     region_contrast, cheapest_regions, nearest_center, perceptual_distance, resolve_redirects, clear_backdrop, flat_paint, plane_slopes, gradient_stops, stop_interpolation,
     polygon_area, smooth_polyline, turn_angles, chord_parameters, drop_repeats, bezier_points, hex_colors, path_numbers, node_count, paint_order, latest_job_state, stale_jobs,
-    baseline_compare, settings_table, resize_lanczos, supersample_bilinear, supersample_bicubic, structural_similarity, trace_documents, trace_drawn, trace_scores,
+    baseline_compare, settings_table, resize_lanczos, supersample_bilinear, supersample_bicubic, structural_similarity, trace_documents, trace_drawn, trace_variants, trace_benchmark, trace_scores,
 )
 
 

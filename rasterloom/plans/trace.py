@@ -54,7 +54,7 @@ def segment(r: np.ndarray, options: dict, step: Callable[[str], None] = lambda n
     parts = kernels.label4(labels).astype(np.int64)
     parts = kernels.label4(segments.reassign_blends(parts, features, scale)).astype(np.int64)
     parts = segments.within_budget(parts, features, options["min_region_px"] * scale * scale, options["max_initial_regions"])
-    plain = r.repeat(scale, 0).repeat(scale, 1)  # paints are fitted to the source's own colours, which no kernel has overshot
+    plain = content.resize(r, w * scale, h * scale, "bilinear") if scale > 1 else r  # paints are fitted to colours between those of the source, never beyond
     return parts, plain[..., :3], plain[..., 3] / 255.0 if soft else np.ones(inside.shape), scale
 
 
@@ -177,6 +177,8 @@ def trace(
         rows = []
         try:
             y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
+            if frame.isna().any().any():
+                raise ValueError("a place or level is null")
             raster = np.zeros((y.max() + 1, x.max() + 1, 4), np.uint8)
             raster[y, x] = frame[["r", "g", "b", "a"]].to_numpy()
             small, chosen, options, found, notes = prepared(raster, preset, quality, overrides, max_edge, background)

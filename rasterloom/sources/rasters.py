@@ -36,6 +36,32 @@ def procedural(spark: SparkSession, size: int = 64) -> DataFrame:
     return base.select("image_id", "y", "x", pick(F.floor(F.sqrt(cx) * 4) % 256, F.when(inside, 200).otherwise(250), ramp("x"), checker).alias("r"), pick(60, F.when(inside, 30).otherwise(250), ramp("y"), checker).alias("g"), pick(180, F.when(inside, 30).otherwise(250), 180, checker).alias("b"), pick(F.when(cx < (size * 0.45) ** 2, 255).otherwise(0), 255, 255, 255).alias("a"))
 
 
+#: Name, width, height and preset of the drawn images that traces are timed and scored on.
+DRAWN = (("poster", 900, 600, "icon"), ("flat-shapes", 640, 640, "icon"), ("shaded-orb", 520, 520, "icon"), ("hairlines", 560, 560, "photo"), ("texture", 480, 480, "photo"), ("alpha-cutout", 480, 480, "icon"))
+#: What the drawn images hold, by x, y, w, h and by u and v, the same from 0 to 1: the colour 65536 r + 256 g + b, or null for nothing.
+DRAWINGS = (
+    "CASE WHEN floor(v * 12e0) % 2 = 1 AND floor(u * (20e0 + floor(v * 12e0) * 3e0)) % 3 <> 0 AND v * 12e0 - floor(v * 12e0) BETWEEN 2e-1 AND 8e-1 THEN 1973820 ELSE 16117990 END",
+    "CASE WHEN u > 15e-2 AND u < 45e-2 AND v > 15e-2 AND v < 4e-1 THEN 13117480 WHEN sqrt((u - 7e-1) * (u - 7e-1) + (v - 3e-1) * (v - 3e-1)) BETWEEN 1e-1 AND 2e-1 THEN 1989320 WHEN v > 7e-1 AND v < 9e-1 AND floor(u * 40e0) % 4 = 0 THEN 1315860 ELSE 16448250 END",
+    "CASE WHEN sqrt((u - 5e-1) * (u - 5e-1) + (v - 5e-1) * (v - 5e-1)) < 4e-1 THEN floor(255e0 - 200e0 * sqrt((u - 4e-1) * (u - 4e-1) + (v - 38e-2) * (v - 38e-2)) / 6e-1) * 65536 + floor(230e0 - 150e0 * sqrt((u - 4e-1) * (u - 4e-1) + (v - 38e-2) * (v - 38e-2)) / 6e-1) * 256 + floor(210e0 - 60e0 * sqrt((u - 4e-1) * (u - 4e-1) + (v - 38e-2) * (v - 38e-2)) / 6e-1) ELSE 15462130 END",
+    "CASE WHEN abs(sqrt((u - 5e-1) * (u - 5e-1) + (v - 5e-1) * (v - 5e-1)) - 35e-2) * w < 15e-1 THEN 13107200 WHEN x % 56 = 0 OR y % 80 < 2 THEN 0 ELSE 16777215 END",
+    "(floor((60e0 + abs((x * 6) % w * 2e0 - w) / w * 120e0 + (x * 7919 + y * 104729 + x * y * 31) % 61) * CASE WHEN u > 35e-2 AND u < 6e-1 AND v > 35e-2 AND v < 6e-1 THEN 3e-1 ELSE 1e0 END)) * 65793",
+    "CASE WHEN (u - 3e-1) * (u - 3e-1) / 484e-4 + (v - 35e-2) * (v - 35e-2) / 225e-4 < 1 THEN 15104020 WHEN sqrt((u - 7e-1) * (u - 7e-1) + (v - 35e-2) * (v - 35e-2)) < 18e-2 THEN 1349210 WHEN v > 6e-1 AND v < 95e-2 AND abs(u - 5e-1) < (v - 6e-1) * 8e-1 THEN 5913760 END",
+)
+
+
+def drawn(spark: SparkSession, shrink: int = 1) -> DataFrame:
+    """Pixels of the drawn images, shrink times smaller."""
+    out = None
+    for k, ((_, width, height, _), drawing) in enumerate(zip(DRAWN, DRAWINGS, strict=True)):
+        w, h = width // shrink, height // shrink
+        places = spark.range(w * h).selectExpr(f"cast({k} as bigint) AS image_id", f"cast(id div {w} as int) AS y", f"cast(id % {w} as int) AS x", f"cast({w} as double) AS w", f"cast({h} as double) AS h")
+        colour = places.selectExpr("*", "cast(x as double) / w AS u", "cast(y as double) / h AS v").selectExpr("image_id", "y", "x", f"cast({drawing} as int) AS c")
+        part = colour.selectExpr("image_id", "y", "x", "coalesce(c div 65536, 0) AS r", "coalesce(c div 256 % 256, 0) AS g", "coalesce(c % 256, 0) AS b", "CASE WHEN c IS NULL THEN 0 ELSE 255 END AS a")
+        part = part.selectExpr("image_id", "y", "x", *(f"cast({c} as int) AS {c}" for c in "rgba"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """path, name, suffix, length and content of the files with an image suffix below a folder, each resolved path once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
