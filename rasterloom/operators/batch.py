@@ -24,6 +24,10 @@ PRESETS = {
 TIERS = {"fast": (2.0, 1.8, 0.35, 2), "balanced": (1.0, 1.0, 1.0, 4), "max": (0.4, 0.7, 2.0, 4)}
 
 
+#: The stages of a job in order.
+JOB_STAGES = ("queued", "load", "palette", "regions", "merge", "document", "write")
+
+
 def settings(preset: str, quality: str = "balanced", overrides: dict | None = None) -> dict:
     """The base, the preset, the tier's factors, and overrides that are not None, in this order."""
     if preset not in PRESETS:
@@ -134,3 +138,30 @@ def uploads(rows: DataFrame, suffixes: tuple[str, ...], most_bytes: int = 64 <<
     size = (F.length("payload") / 4 * 3).cast("long") - F.length(F.regexp_extract("payload", "=*$", 0))
     reason = F.when(~suffix.isin(*suffixes), "suffix").when(F.coalesce(F.length("payload"), F.lit(0)) == 0, "empty").when(~whole, "not base64").when(size > most_bytes, "too large")
     return rows.withColumn("reason", reason).withColumn("content", F.when(F.col("reason").isNull(), F.unbase64("payload")))
+
+
+def job_id(*columns: Column) -> Column:
+    """Twelve hexadecimal digits that name a job."""
+    return F.substring(F.sha2(F.concat_ws("/", *(c.cast("string") for c in columns)), 256), 1, 12)
+
+
+def progress(stage: Column) -> Column:
+    """The share of stages before this one; 0 for an unknown one."""
+    place = F.array_position(F.array(*map(F.lit, JOB_STAGES)), F.coalesce(stage, F.lit("")))
+    return F.greatest(place - 1, F.lit(0)).cast("double") / d(len(JOB_STAGES))
+
+
+def queue_states(log: DataFrame, key: str = "job", order: str = "at") -> DataFrame:
+    """The jobs still in the queue with their last state, and how often a removal was refused since the job ran. log: job, at, action (add, start, done, failed, remove)."""
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.last(F.when(F.col("action") != "remove", F.col("action")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    told = log.withColumn("refused", (F.col("action") == "remove") & F.coalesce(before == "start", F.lit(False)))
+    last = told.filter("NOT refused").groupBy(key).agg(F.max_by("action", order).alias("action"))
+    tally = told.groupBy(key).agg(F.count_if("refused").alias("refused"))
+    state = F.when(F.col("action") == "start", "running").when(F.col("action") == "add", "queued").otherwise(F.col("action"))
+    return last.join(tally, key).filter("action <> 'remove'").select(key, state.alias("state"), "refused")
+
+
+def rerun(done: DataFrame, keys: list[str], only: DataFrame | None = None) -> DataFrame:
+    """done without the jobs of only, or without any: what is not in it is stale and runs again."""
+    return done.limit(0) if only is None else done.join(only, keys, "left_anti")

@@ -60,3 +60,13 @@ def stride_sample(pixels: DataFrame, edge: int = 256) -> DataFrame:
 
 def subpixel(scale: float) -> tuple[Column, Column]:
     return (F.col("x") + d(0.5)) / d(scale), (F.col("y") + d(0.5)) / d(scale)
+
+
+def oriented(pixels: DataFrame, orientation: Column) -> DataFrame:
+    """Pixels turned and mirrored to stand upright, by the orientation number 1 to 8 of their file; others as they are."""
+    size = pixels.groupBy("image_id").agg(F.max("y").alias("__h"), F.max("x").alias("__w"))
+    met = pixels.withColumn("__o", orientation).join(size, "image_id")
+    y, x, h, w, o = (F.col(c) for c in ("y", "x", "__h", "__w", "__o"))
+    ny = F.when(o.isin(3, 4), h - y).when(o.isin(5, 6), x).when(o.isin(7, 8), w - x).otherwise(y)
+    nx = F.when(o.isin(2, 3), w - x).when(o.isin(5, 8), y).when(o.isin(6, 7), h - y).otherwise(x)
+    return met.select("image_id", ny.alias("y"), nx.alias("x"), "r", "g", "b", "a")

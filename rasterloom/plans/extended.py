@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import analysis, batch, geometry, neighbourhood, paint, regions, text
+from ..operators import analysis, batch, geometry, neighbourhood, paint, pixels, regions, text
 from ..operators.pixels import d
 from ..sources.rasters import DRAWINGS, DRAWN, SUFFIXES, drawn, from_embeddings
 from .oracle import ADJACENT, BORDER, CONTRAST, LABELS, RINGS, SHIFTS, SYMMETRIC, _f, _linear, around, flood, q, summary
@@ -433,6 +433,35 @@ def upload_checks(spark, sf_dir):
     return batch.uploads(rows, SUFFIXES, 2000).select("doc_id", "reason", F.coalesce(F.octet_length("content").cast("long"), F.lit(-1)).alias("bytes"))
 
 
+@query(q("hw AS (SELECT image_id, max(y) AS h, max(x) AS w FROM px GROUP BY image_id)", "ori AS (SELECT px.*, h, w, image_id % 8 + 1 AS o FROM px JOIN hw USING (image_id))", select="SELECT image_id, CAST(CASE WHEN o IN (3, 4) THEN h - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN w - x ELSE y END AS INT) AS y, CAST(CASE WHEN o IN (2, 3) THEN w - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN h - y ELSE x END AS INT) AS x, r, g, b, a FROM ori"))
+def oriented_pixels(spark, sf_dir):
+    return pixels.oriented(raster(spark, sf_dir), F.col("image_id") % 8 + 1)
+
+
+@query("SELECT event_id, CAST(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 6 ELSE 0 END AS DOUBLE) / 7.0::DOUBLE AS progress FROM events")
+def stage_progress(spark, sf_dir):
+    stage = F.create_map(*map(F.lit, ("view", "queued", "click", "load", "purchase", "merge", "signup", "write")))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", batch.progress(F.coalesce(F.try_element_at(stage, F.col("event_type")), F.lit("other"))).alias("progress"))
+
+
+ACTIONS = '''lg AS (SELECT user_id * 100 + event_id % 100 AS job, event_id AS "at", CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'remove' END AS action FROM events)'''
+
+
+@query(f"""WITH {ACTIONS}, bf AS (SELECT *, last_value(CASE WHEN action <> 'remove' THEN action END IGNORE NULLS) OVER (PARTITION BY job ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lg),
+re AS (SELECT *, action = 'remove' AND COALESCE(before = 'start', false) AS refused FROM bf), ls AS (SELECT job, arg_max(action, "at") FILTER (NOT refused) AS action, count(*) FILTER (refused) AS refused FROM re GROUP BY job)
+SELECT job, CASE action WHEN 'start' THEN 'running' WHEN 'add' THEN 'queued' ELSE action END AS state, refused FROM ls WHERE action <> 'remove'""")
+def queue_states(spark, sf_dir):
+    action = F.create_map(*map(F.lit, ("view", "add", "click", "start", "purchase", "done", "error", "failed", "signup", "remove")))
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("job"), F.col("event_id").alias("at"), F.element_at(action, F.col("event_type")).alias("action"))
+    return batch.queue_states(log)
+
+
+@query("SELECT user_id, substr(sha256(CAST(user_id AS VARCHAR) || '/' || min(event_id)), 1, 12) AS job FROM events GROUP BY user_id")
+def job_ids(spark, sf_dir):
+    first = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("e"))
+    return first.select("user_id", batch.job_id(F.col("user_id"), F.col("e")).alias("job"))
+
+
 def _drawn(shrink: int) -> str:
     parts = []
     for k, ((_, width, height, _), drawing) in enumerate(zip(DRAWN, DRAWINGS, strict=True)):

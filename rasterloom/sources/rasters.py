@@ -76,6 +76,52 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data", bad.alias("error"))
 
 
+def _exif_orientation(data: bytes) -> int:
+    """The orientation tag of a JPEG file's first Exif segment; 1 where there is none."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xE1 and body[:6] == b"Exif\0\0" and len(body) > 14:
+            tiff = body[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+            first = int.from_bytes(tiff[4:8], order)
+            for k in range(int.from_bytes(tiff[first : first + 2], order)):
+                entry = tiff[first + 2 + 12 * k : first + 14 + 12 * k]
+                if int.from_bytes(entry[:2], order) == 274:
+                    value = int.from_bytes(entry[8:10], order)
+                    return value if 1 <= value <= 8 else 1
+        at += 2 + size
+    return 1
+
+
+def _has_alpha(data: bytes) -> bool:
+    """Whether a PNG file has an alpha channel or a transparency entry before its pixels, or a GIF file a transparent colour."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        if data[25:26] in (b"\x04", b"\x06"):
+            return True
+        at = 8
+        while at + 8 <= len(data) and data[at + 4 : at + 8] not in (b"IDAT", b"IEND"):
+            if data[at + 4 : at + 8] == b"tRNS":
+                return True
+            at += 12 + int.from_bytes(data[at : at + 4], "big")
+    elif data[:4] == b"GIF8":
+        at = data.find(b"\x21\xf9\x04")
+        return at >= 0 and bool(data[at + 3] & 1)
+    return False
+
+
+def provenance(files: DataFrame) -> DataFrame:
+    """path, orientation and had_alpha of files (path, content), from their headers, which the decoder does not hand on."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [c.as_buffer().to_pybytes() if c.is_valid else b"" for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_exif_orientation(b) for b in heads], pa.int32()), pa.array([_has_alpha(b) for b in heads])], ["path", "orientation", "had_alpha"])
+
+    return files.select("path", F.substring("content", 1, 1 << 20).alias("content")).mapInArrow(told, "path string, orientation int, had_alpha boolean")
+
+
 def pixels(images: DataFrame, block: int = 1 << 16) -> DataFrame:
     """Pixels of decoded images (with an image_id): the decoder's BGR or BGRA bytes as straight RGBA; grey images have one channel. An image's bytes are laid out by NumPy, block pixels at a time."""
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import base64
+import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.content import cap_size
+
 
 def write_documents(documents: DataFrame, folder: str, name: str = "image_id", content: str = "svg") -> DataFrame:
     """Writes each document as <name>.svg into a folder that executors reach by a pyarrow file system; destination and bytes of each.
@@ -42,6 +49,28 @@ def write_documents(documents: DataFrame, folder: str, name: str = "image_id", c
     return named.mapInArrow(write, "destination string, svg_bytes long, error string")
 
 
+def png(r: np.ndarray) -> bytes:
+    """A raster (rows, columns, 4) as a PNG file."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((r.shape[0], 1), np.uint8), r.reshape(r.shape[0], -1)], 1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", r.shape[1], r.shape[0], 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def thumbnails(pixels: DataFrame, max_edge: int = 96) -> DataFrame:
+    """image_id and a data URL of each image, made smaller; an empty one where that fails."""
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            r = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1, 4), np.uint8)
+            r[frame["y"], frame["x"]] = frame[["r", "g", "b", "a"]].to_numpy()
+            url = "data:image/png;base64," + base64.b64encode(png(cap_size(r, max_edge))).decode()
+        except (ValueError, IndexError):
+            url = ""
+        return pd.DataFrame({"image_id": [int(key[0])], "url": [url]})
+
+    return pixels.select("image_id", "y", "x", "r", "g", "b", "a").groupBy("image_id").applyInPandas(one, "image_id long, url string")
+
+
 def json_lines(results: DataFrame) -> DataFrame:
     """A line of JSON for each result, without its document."""
     return results.select(F.to_json(F.struct(*(c for c in results.columns if c != "svg"))).alias("line"))

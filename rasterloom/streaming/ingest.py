@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +33,20 @@ def trace_new_files(spark: SparkSession, folder: str, log: str, checkpoint: str,
         rows.select("path", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("error", "unread").alias("error"), "regions", "svg", F.lit(options).alias("options"), F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(log)
 
     return listed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """Jobs begun within carry the tag, by which cancel ends them from elsewhere."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str, *queries) -> None:
+    """Ends all jobs of the tag, and streaming queries so that what they have not begun stays undone."""
+    for query in queries:
+        query.stop()
+    spark.sparkContext.cancelJobsWithTag(tag)
