@@ -120,3 +120,25 @@ def gradient_element(kind: Column, name: Column, shape: list[Column], stops: Col
 def paint_attributes(kind: Column, name: Column, color: Column, alpha: Column) -> Column:
     opacity = F.when(alpha < d(0.995), F.concat(F.lit(' fill-opacity="'), attribute_number(alpha, 3), F.lit('"'))).otherwise("")
     return F.when(kind == "flat", F.concat(F.lit('fill="'), color, F.lit('"'), opacity)).otherwise(F.concat(F.lit('fill="url(#'), name, F.lit(')"')))
+
+
+def centres(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """The centre that the channels' paraboloids c = m + bx x + by y + d (x x + y y) share, weighted by their curvature d; from covariances alone.
+
+    The plane part is taken out of x x + y y first, which leaves one division for each channel; regions of a line, or without curvature, have none."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    z = x * x + y * y
+    cov = {f"{a}{b}": F.covar_pop(u, v) for a, u in (("x", x), ("y", y), ("z", z)) for b, v in (("x", x), ("y", y), ("z", z), *((c, F.col(c).cast("double")) for c in "rgb"))}
+    sums = pixels.groupBy(*keys).agg(*(e.alias(n) for n, e in cov.items()))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    plane = lambda to: ((F.col(f"x{to}") * F.col("yy") - F.col(f"y{to}") * F.col("xy")) / F.col("det"), (F.col(f"y{to}") * F.col("xx") - F.col(f"x{to}") * F.col("xy")) / F.col("det"))
+    known = sums.withColumn("det", det).filter(F.col("det") > d(1e-9))
+    px, py = plane("z")
+    known = known.withColumns({"px": px, "py": py}).withColumn("left", F.col("zz") - F.col("px") * F.col("xz") - F.col("py") * F.col("yz")).filter(F.col("left") > d(1e-6))
+    for c in "rgb":
+        gx, gy = plane(c)
+        bend = (F.col(f"z{c}") - F.col("px") * F.col(f"x{c}") - F.col("py") * F.col(f"y{c}")) / F.col("left")
+        known = known.withColumn(f"d{c}", bend).withColumns({f"bx{c}": gx - F.col(f"d{c}") * F.col("px"), f"by{c}": gy - F.col(f"d{c}") * F.col("py")})
+    total = lambda n: sum((F.col(f"{n}{c}") * F.col(f"d{c}") for c in "rgb"), d(0))
+    met = known.withColumn("weight", total("d")).filter(F.col("weight") > d(1e-9))
+    return met.select(*keys, *((F.round(-total(n) / (d(2) * F.col("weight")), 3) + d(0)).alias(to) for n, to in (("bx", "cx"), ("by", "cy"))))

@@ -227,6 +227,21 @@ def paint_fit_linear(spark, sf_dir):
     return paint.directions(labels(spark, sf_dir), KEY)
 
 
+_COV = ", ".join(f"covar_pop({u}, {v}) AS {a}{b}" for a, u in (("x", "x::DOUBLE"), ("y", "y::DOUBLE"), ("z", "z::DOUBLE")) for b, v in (("x", "x::DOUBLE"), ("y", "y::DOUBLE"), ("z", "z::DOUBLE"), *((c, f"{c}::DOUBLE") for c in "rgb")))
+CENTRES = (
+    LABELS,
+    f"cv AS (SELECT image_id, label, {_COV} FROM (SELECT *, x * x + y * y AS z FROM lb) GROUP BY ALL)",
+    "pl AS (SELECT *, xx * yy - xy * xy AS det, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS px_, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS py_ FROM cv WHERE xx * yy - xy * xy > 1e-9)",
+    "bn AS (SELECT *, zz - px_ * xz - py_ * yz AS rest, " + ", ".join(f"(z{c} - px_ * x{c} - py_ * y{c}) / (zz - px_ * xz - py_ * yz) AS d{c}" for c in "rgb") + " FROM pl WHERE zz - px_ * xz - py_ * yz > 1e-6)",
+    "ln AS (SELECT image_id, label, dr * dr + dg * dg + db * db AS w, " + " + ".join(f"((x{c} * yy - y{c} * xy) / det - d{c} * px_) * d{c}" for c in "rgb") + " AS sx, " + " + ".join(f"((y{c} * xx - x{c} * xy) / det - d{c} * py_) * d{c}" for c in "rgb") + " AS sy FROM bn)",
+)
+
+
+@query(q(*CENTRES, select="SELECT image_id, label, round(-sx / (2.0::DOUBLE * w), 3) + 0.0::DOUBLE AS cx, round(-sy / (2.0::DOUBLE * w), 3) + 0.0::DOUBLE AS cy FROM ln WHERE w > 1e-9"))
+def paint_fit_radial(spark, sf_dir):
+    return paint.centres(labels(spark, sf_dir), KEY)
+
+
 @query(q(LABELS, select="SELECT image_id, label, max(a) / 255.0::DOUBLE - min(a) / 255.0::DOUBLE >= 0.02 AS with_alpha, CASE WHEN max(a) / 255.0::DOUBLE - min(a) / 255.0::DOUBLE >= 0.02 THEN round(avg(a::DOUBLE), 6) END AS signal FROM lb GROUP BY ALL"))
 def paint_signal(spark, sf_dir):
     return paint.signal_channels(labels(spark, sf_dir), KEY)
