@@ -42,18 +42,18 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-checkpoints-"))
 
 
-#: Narrow rows that a partition of a cut holds where their number is known to be few.
-CUT_ROWS = 100_000
+#: Rows that a partition of a cut holds where their number is known to be few: of some numbers each, of arrays, and of whole texts.
+CUT_ROWS, CUT_WIDE_ROWS, CUT_TEXTS = 100_000, 20_000, 5_000
 
 
-def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, most_rows: int | None = None, each: int = CUT_ROWS) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder, so that no lost executor loses them.
 
     most_rows, a bound on the number of rows if one is known, keeps few rows from being spread over very many files.
     """
     ensure_checkpoints(df.sparkSession)
     if most_rows is not None:
-        df = df.coalesce(most_rows // CUT_ROWS + 1)
+        df = df.coalesce(most_rows // each + 1)
     return df.checkpoint()
 
 

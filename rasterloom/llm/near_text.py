@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import broadcast_if_small, cut
+from .common import CUT_TEXTS, CUT_WIDE_ROWS, broadcast_if_small, cut
 from .components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -130,10 +130,10 @@ def links_in(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, small: int
         yield from _search(nodes[starts[run] : ends[run]], signs[starts[run] : ends[run]])
 
 
-def anchor_links(classes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+def anchor_links(classes: DataFrame, key_rows: int = KEY_ROWS, most: int | None = None) -> DataFrame:
     """(a, b): links between classes (node, anchors, signature) that share an anchor."""
     explode = lambda df: df.select(F.explode("anchors").alias("key"), "node", "signature")
-    keyed = simhash.split_heavy(explode(classes), explode(classes.filter(simhash.sampled("node"))).select("key", "node"), "node", key_rows)
+    keyed = simhash.split_heavy(explode(classes), explode(classes.filter(simhash.sampled("node"))).select("key", "node"), "node", key_rows, most and ANCHORS * most)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -163,11 +163,11 @@ def anchor_links(classes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def fingerprint_links(classes: DataFrame) -> DataFrame:
+def fingerprint_links(classes: DataFrame, most: int | None = None) -> DataFrame:
     """(a, b): classes whose fingerprints differ in at most four bits, joined to the first class of each fingerprint."""
-    firsts = cut(classes.groupBy("fp").agg(F.min("node").alias("first")))
+    firsts = cut(classes.groupBy("fp").agg(F.min("node").alias("first")), most)
     same = classes.join(firsts, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = simhash.link(firsts).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
+    near = simhash.link(firsts, most=most).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
     name = lambda fp, n: firsts.select(F.col("fp").alias(fp), F.col("first").alias(n))
     return same.unionByName(near.join(name("fa", "a"), "fa").join(name("fb", "b"), "fb").select("a", "b")).filter("a <> b").distinct()
 
@@ -245,38 +245,40 @@ def _searched(dealt: DataFrame, similarity: float) -> DataFrame:
     return dealt.select("key", "node", "comp", "text").repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
 
 
-def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _with_components(rows: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
     """rows (node, ...) with comp, the smallest node that links reach from theirs."""
-    return rows.join(connected(links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    return rows.join(connected(links, most_edges=most), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
-def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, proxies: int = PROXIES) -> DataFrame:
+def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, proxies: int = PROXIES, most: int | None = None) -> DataFrame:
     """(a, b): links between the similar texts (node, text) of each family (node, family), which join all that are similar.
 
     A family is dealt into chunks of about chunk bytes, and each chunk is searched. That is all for families of one
     chunk. In larger ones, a few texts of each component found are searched together, which joins what is dense; then
     each chunk of texts outside the family's largest component meets every other chunk. So no similar pair is missed,
-    and what is moved grows with the square of what lies outside the largest component alone.
+    and what is moved grows with the square of what lies outside the largest component alone. most: a bound on the number of
+    members, if one is known, by which cuts are laid out.
     """
-    whole = cut(members.join(texts.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "node").withColumn("size", F.octet_length("text")))
+    whole = cut(members.join(texts.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "node").withColumn("size", F.octet_length("text")), most, CUT_TEXTS)
     sizes = whole.groupBy("family").agg((F.sum("size") / chunk + 1).cast("int").alias("chunks"))
-    large = cut(sizes.filter("chunks > 1"))
+    large = cut(sizes.filter("chunks > 1"), most)
     dealt = whole.join(broadcast_if_small(large), "family", "left")
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), n).cast("int")
-    links = cut(_searched(dealt.select(F.xxhash64("family", part(F.coalesce("chunks", F.lit(1)))).alias("key"), "node", F.col("node").alias("comp"), "text"), similarity))
+    links = cut(_searched(dealt.select(F.xxhash64("family", part(F.coalesce("chunks", F.lit(1)))).alias("key"), "node", F.col("node").alias("comp"), "text"), similarity).distinct(), most)  # distinct parts the search, which is what costs, from the few tasks that write
     if large.isEmpty():
         return links
+    twice = most and 2 * most
     several = dealt.filter("chunks IS NOT NULL").select("family", "node", "text", "size")
     inside = links.join(several.select(F.col("node").alias("a")), "a", "left_semi")
-    rows = cut(_with_components(several.drop("text"), inside))
+    rows = cut(_with_components(several.drop("text"), inside, most), most)
     few = rows.withColumn("place", F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("node", F.lit(13)), "node"))).filter(F.col("place") <= proxies)
     spread = few.join(few.groupBy("family").agg((F.sum("size") / chunk + 1).cast("int").alias("chunks")), "family")
     met = spread.join(whole.select("node", "text"), "node").select(F.xxhash64("family", part(F.col("chunks"))).alias("key"), "node", "comp", "text")
-    links = cut(links.unionByName(_searched(met, similarity)))
-    rows = cut(_with_components(rows.drop("comp"), links.join(several.select(F.col("node").alias("a")), "a", "left_semi")))
+    links = cut(links.unionByName(_searched(met, similarity)).distinct(), twice)
+    rows = cut(_with_components(rows.drop("comp"), links.join(several.select(F.col("node").alias("a")), "a", "left_semi"), twice), most)
     each = rows.groupBy("family", "comp").agg(F.sum("size").alias("size"))
     shape = each.groupBy("family").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), (F.max("size") / chunk + 1).cast("int").alias("mains"), ((F.sum("size") - F.max("size")) / chunk + 1).cast("int").alias("others"), F.count("*").alias("n"))
-    shape = cut(shape.filter("n > 1").drop("n"))
+    shape = cut(shape.filter("n > 1").drop("n"), most)
     if shape.isEmpty():
         return links
     apart = rows.join(broadcast_if_small(shape), "family").withColumn("own", part(F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("others"))))
@@ -285,21 +287,23 @@ def family_links(members: DataFrame, texts: DataFrame, similarity: float = SIMIL
     across = F.transform(F.filter(to(F.col("others")), lambda j: j != F.col("own")), lambda j: pair("others", F.least("own", j), F.greatest("own", j)))
     keys = F.when(F.col("comp") == F.col("main"), F.transform(to(F.col("others")), lambda j: pair("main", F.col("own"), j))).otherwise(F.concat(F.transform(to(F.col("mains")), lambda i: pair("main", i, F.col("own"))), across))
     last = apart.join(whole.select("node", "text"), "node").select(F.explode(keys).alias("key"), "node", "comp", "text")
-    return cut(links.unionByName(_searched(last, similarity)))
+    return cut(links.unionByName(_searched(last, similarity)).distinct(), most and 3 * most)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' description, and (node, root) of the classes whose component has a smaller node. docs is read twice."""
     marked = cut(describe(docs))
-    classes = cut(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("signature").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("row")))
-    named = cut(anchor_links(classes).unionByName(fingerprint_links(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-    families = connected(named).withColumnRenamed("root", "family")
+    most = marked.count()
+    classes = cut(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("signature").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("row")), most, CUT_WIDE_ROWS)
+    found = anchor_links(classes, most=most).unionByName(fingerprint_links(classes, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    named = cut(found.distinct(), ANCHORS * most)
+    families = connected(named, most_edges=ANCHORS * most).withColumnRenamed("root", "family")
     every = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = every.join(classes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("k"), F.col("row.text_hash").alias("h"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))).groupBy("node").agg(F.first("text").alias("text"))
     members = every.join(families, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
-    return marked, connected(family_links(members, texts, similarity))
+    return marked, connected(family_links(members, texts, similarity, most=most), most_edges=2 * most)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -154,12 +154,12 @@ def sampled(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(KEY_SHARE)) == 0
 
 
-def split_heavy(keyed: DataFrame, part: DataFrame, node: str, key_rows: int) -> DataFrame:
+def split_heavy(keyed: DataFrame, part: DataFrame, node: str, key_rows: int, most_keys: int | None = None) -> DataFrame:
     """keyed with the rows of heavy keys sent to every pair of chunks that has theirs, under a key of its own, so that all pairs still meet while a task holds about key_rows rows of a key.
 
-    part, the rows of a sample of nodes, only says which keys are heavy; a wrong guess costs memory, never a pair.
+    part, the rows of a sample of nodes, only says which keys are heavy; a wrong guess costs memory, never a pair. most_keys: a bound on the number of its keys, if one is known.
     """
-    heavy = cut(part.groupBy("key").count().filter(F.col("count") * KEY_SHARE > key_rows).select("key", F.ceil(F.col("count") * (4 * KEY_SHARE) / key_rows).cast("int").alias("chunks")))
+    heavy = cut(part.groupBy("key").count().filter(F.col("count") * KEY_SHARE > key_rows).select("key", F.ceil(F.col("count") * (4 * KEY_SHARE) / key_rows).cast("int").alias("chunks")), most_keys)
     if heavy.isEmpty():
         return keyed
     own = F.pmod(F.xxhash64(node, F.lit(7)), F.col("chunks")).cast("int")
@@ -169,12 +169,12 @@ def split_heavy(keyed: DataFrame, part: DataFrame, node: str, key_rows: int) ->
     return light.unionByName(dealt.filter("chunks IS NOT NULL").withColumn("key", F.explode(met)).select(keyed.columns))
 
 
-def link(fps: DataFrame, bits: int = MAX_BITS, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(a, b): links between the distinct fingerprints in fps (column fp) that connect all that differ in at most bits bits."""
+def link(fps: DataFrame, bits: int = MAX_BITS, key_rows: int = KEY_ROWS, most: int | None = None) -> DataFrame:
+    """(a, b): links between the distinct fingerprints in fps (column fp) that connect all that differ in at most bits bits. most: a bound on the number of fingerprints, if one is known."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"bits must be from 0 to {MAX_BITS}: beyond that two segments may have more than two errors")
     expand = lambda df: df.select("fp").mapInArrow(_keyed, "key long, fp long")
-    keyed = split_heavy(expand(fps), expand(fps.filter(sampled("fp"))), "fp", key_rows)
+    keyed = split_heavy(expand(fps), expand(fps.filter(sampled("fp"))), "fp", key_rows, most and 2 * most)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs()
@@ -191,11 +191,12 @@ def link(fps: DataFrame, bits: int = MAX_BITS, key_rows: int = KEY_ROWS) -> Data
 
 def components(marked: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """marked (doc_id, fp; read more than once) with component_id: the smallest doc_id that links reach."""
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(link(classes, bits))
+    most = marked.count()
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), most)
+    roots = connected(link(classes, bits, most=most))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # cut, so that what joins it by one large component can be split
-    named = cut(rooted.join(broadcast_if_small(least), "root").select("fp", "component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), most)  # cut, so that what joins it by one large component can be split
+    named = cut(rooted.join(broadcast_if_small(least), "root").select("fp", "component_id"), most)
     return marked.join(broadcast_if_small(named), "fp", "left")
 
 

@@ -83,3 +83,25 @@ def test_runs_of_alike_texts_against_brute_force(spark, n):
     texts = graded(np.random.default_rng(n), n, 1)
     kept = {r.doc_id for r in near_text.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == brute_groups(texts)
+
+
+def test_components_by_contraction_and_in_one_task(spark):
+    rng = np.random.default_rng(34)
+    for n, m in ((50, 30), (400, 300), (3, 0)):
+        edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-n, n, (m, 2))] + [(None, 1)], "a long, b long")
+        near: dict = {}
+        for a, b in edges.collect():
+            if a is not None:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        want, seen = set(), set()
+        for start in sorted(near):
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    want |= {(x, start)} if x != start else set()
+                    todo += near[x]
+        for few in (0, 10**6):
+            assert {(r.node, r.root) for r in components.connected(edges, few_edges=few).collect()} == want
