@@ -97,10 +97,17 @@ def warnings(kind: Column, preset: Column, downscaled: Column) -> Column:
     return F.array_compact(F.array(photo, F.when(downscaled, "the image was reduced")))
 
 
+def total(name: str) -> Column:
+    """An aggregate: the sum of doubles by way of decimals of twelve places, so that order does not matter; a plain sum where a value, or the sum, is no such decimal."""
+    exact = F.col(name).try_cast("decimal(38,12)")
+    plain = F.count_if(F.col(name).isNotNull() & exact.isNull()) > 0
+    return F.coalesce(F.when(~plain, F.try_sum(exact).cast("double")), F.sum(name))
+
+
 def batch_summary(results: DataFrame, most_notes: int = 6) -> DataFrame:
     """One row: images, mean similarity of those scored, bytes, summed seconds, the first notes by name, and how many more there are. results: name, similarity, svg_bytes, seconds, note (null for none)."""
     order = Window.orderBy("name")
-    sums = results.agg(F.count("*").alias("images"), F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.sum("svg_bytes").cast("long").alias("svg_bytes"), F.round(F.sum("seconds"), 6).alias("seconds"), F.count("note").alias("__notes"))
+    sums = results.agg(F.count("*").alias("images"), F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.sum("svg_bytes").cast("long").alias("svg_bytes"), F.round(total("seconds"), 6).alias("seconds"), F.count("note").alias("__notes"))
     first = results.filter("note IS NOT NULL").orderBy("name").limit(most_notes).withColumn("__at", F.row_number().over(order)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "note"))), lambda s: s["note"]), "; ").alias("notes"))
     return sums.crossJoin(F.broadcast(first)).withColumn("more_notes", F.greatest(F.lit(0), F.col("__notes") - most_notes)).drop("__notes")
 

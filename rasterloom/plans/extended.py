@@ -386,9 +386,11 @@ RESULTS = "SELECT 'e' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS name, CASE W
 
 @query(f"WITH rs AS ({RESULTS}) SELECT count(*) AS images, round(avg(similarity), 6) AS mean_similarity, CAST(sum(svg_bytes) AS BIGINT) AS svg_bytes, round(sum(seconds), 6) AS seconds, (SELECT string_agg(note, '; ' ORDER BY name) FROM (SELECT name, note FROM rs WHERE note IS NOT NULL ORDER BY name LIMIT 6)) AS notes, greatest(0, count(note) - 6) AS more_notes FROM rs")
 def batch_summary(spark, sf_dir):
+    """Values are rounded as doubles, scaled and scaled back: F.round goes by their shortest decimal form and so parts from SQL at halves that no double holds."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     name = F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 9, "0"))
-    return batch.batch_summary(e.select(name.alias("name"), F.when(F.col("event_id") % 3 != 0, F.round("value", 2)).alias("similarity"), (F.col("event_id") % 1000).alias("svg_bytes"), F.round(F.col("value") / 100, 3).alias("seconds"), F.when(F.col("event_id") % 97 == 0, F.col("event_type")).alias("note")))
+    places = lambda c, n: F.round(c * d(10**n)) / d(10**n)
+    return batch.batch_summary(e.select(name.alias("name"), F.when(F.col("event_id") % 3 != 0, places(F.col("value"), 2)).alias("similarity"), (F.col("event_id") % 1000).alias("svg_bytes"), places(F.col("value") / 100, 3).alias("seconds"), F.when(F.col("event_id") % 97 == 0, F.col("event_type")).alias("note")))
 
 
 JOBS = "jb AS (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events), dn AS (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'purchase')"
