@@ -57,38 +57,48 @@ def _level(value: Column) -> Column:
     return F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.round(value, 6) + d(0.5)))).cast("int")
 
 
-def _along(pixels: DataFrame, axis: str, method: str) -> DataFrame:
-    """pixels with width, height and the wanted to_width, to_height, resampled along x or y."""
+def _along(pixels: DataFrame, sizes: DataFrame, axis: str, method: str) -> DataFrame:
+    """pixels with width, height and the wanted to_width, to_height, all in sizes, resampled along x or y."""
     n_in, n_out = ("width", "to_width") if axis == "x" else ("height", "to_height")
     other = "y" if axis == "x" else "x"
-    table = taps(pixels.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out")).distinct(), method).withColumnsRenamed({"n_in": n_in, "n_out": n_out, "s": axis})
+    table = taps(sizes.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out")).distinct(), method).withColumnsRenamed({"n_in": n_in, "n_out": n_out, "s": axis})
     size = ["width", "height", "to_width", "to_height"]
     met = pixels.join(broadcast_if_small(table), [n_in, n_out, axis])
     return met.groupBy("image_id", other, F.col("o").alias("__o"), *size).agg(*(_level(F.sum(F.col(c) * F.col("w"))).alias(c) for c in CHANNELS)).withColumnRenamed("__o", axis)
 
 
-def _resize(pixels: DataFrame, to_width: Column, to_height: Column, method: str) -> DataFrame:
-    sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    sizes = sizes.withColumn("to_width", to_width.cast("int")).withColumn("to_height", to_height.cast("int"))
+def _resize(pixels: DataFrame, to_width: Column, to_height: Column, method: str, size: tuple[int, int] | None) -> DataFrame:
+    wanted = {"to_width": to_width.cast("int"), "to_height": to_height.cast("int")}
+    if size:
+        sizes = pixels.sparkSession.range(1).select(F.lit(size[0]).alias("width"), F.lit(size[1]).alias("height")).withColumns(wanted)
+        sized = pixels.withColumns({"width": F.lit(size[0]), "height": F.lit(size[1])}).withColumns(wanted)
+    else:
+        sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).withColumns(wanted)
+        sized = pixels.join(sizes, "image_id")
     pre = [F.floor(F.col(c) * F.col("a") / d(255) + d(0.5)).cast("int").alias(c) for c in CHANNELS[:3]]
-    done = _along(_along(pixels.join(sizes, "image_id").select("image_id", "y", "x", *pre, "a", *sizes.columns[1:]), "x", method), "y", method)
+    laid = sized.select("image_id", "y", "x", *pre, "a", "width", "height", *wanted)
+    done = _along(_along(laid, sizes, "x", method), sizes, "y", method)
     post = [F.when(F.col("a") == 0, 0).otherwise(F.least(F.lit(255), F.floor(F.col(c) * 255 / F.greatest("a", F.lit(1))))).cast("int").alias(c) for c in CHANNELS[:3]]
     return done.select("image_id", "y", "x", *post, "a")
 
 
-def cap_size(pixels: DataFrame, max_edge: int = 1024, method: str = "lanczos") -> DataFrame:
-    """Rasters whose longer side is over max_edge, made smaller to have just that; others, and all if max_edge is 0, as they are."""
-    if not max_edge:
+def cap_size(pixels: DataFrame, max_edge: int = 1024, method: str = "lanczos", size: tuple[int, int] | None = None) -> DataFrame:
+    """Rasters whose longer side is over max_edge, made smaller to have just that; others, and all if max_edge is 0, as they are.
+
+    size: the width and height of every raster where they are known; pixels that a raster has not got then count as nothing. Without it the last pixels tell."""
+    if not max_edge or size and max(size) <= max_edge:
         return pixels.select("image_id", "y", "x", *CHANNELS)
     longest = F.greatest("width", "height")
-    over = pixels.groupBy("image_id").agg(F.greatest(F.max("x"), F.max("y")).alias("m")).filter(F.col("m") >= max_edge).select("image_id")
     side = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * (d(max_edge) / longest)))
-    small = _resize(pixels.join(over, "image_id", "left_semi"), side("width"), side("height"), method)
+    if size:
+        return _resize(pixels, side("width"), side("height"), method, size)
+    over = pixels.groupBy("image_id").agg(F.greatest(F.max("x"), F.max("y")).alias("m")).filter(F.col("m") >= max_edge).select("image_id")
+    small = _resize(pixels.join(over, "image_id", "left_semi"), side("width"), side("height"), method, None)
     return pixels.join(over, "image_id", "left_anti").select("image_id", "y", "x", *CHANNELS).unionByName(small)
 
 
-def supersample(pixels: DataFrame, scale: int, method: str = "lanczos") -> DataFrame:
-    """Rasters with scale times the width and the height; as they are at scale 1."""
+def supersample(pixels: DataFrame, scale: int, method: str = "lanczos", size: tuple[int, int] | None = None) -> DataFrame:
+    """Rasters with scale times the width and the height; as they are at scale 1. size as in cap_size."""
     if scale == 1:
         return pixels.select("image_id", "y", "x", *CHANNELS)
-    return _resize(pixels, F.col("width") * scale, F.col("height") * scale, method)
+    return _resize(pixels, F.col("width") * scale, F.col("height") * scale, method, size)
