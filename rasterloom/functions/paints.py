@@ -186,3 +186,29 @@ def attributes(paint: Paint, name: str) -> str:
     if paint.kind != "flat":
         return f'fill="url(#{name})"'
     return f'fill="{hex_color(paint.stops[0][1])}"' + _opacity("fill", paint.stops[0][2])
+
+
+#: Products whose sums centre() takes, z being x x + y y.
+PAIRS = ("xx", "xy", "yy", "xz", "yz", "zz", *(a + c for a in "xyz" for c in "rgb"))
+
+
+def centre(sums: dict[str, int]) -> tuple[float, float] | None:
+    """The centre that the paraboloids of r, g and b share, from the number of points n and their sums, all whole: x, y, z, r, g, b and PAIRS, of which some may have a part in units of 2**32 under _high.
+
+    Covariances are kept as whole numbers, n * n times as large, so that what is nothing comes out as nothing. None without an area, without a curvature that the points could show, or without one."""
+    n = sums["n"]
+    v = {p: n * (sums[p] + (sums.get(f"{p}_high", 0) << 32)) - sums[p[0]] * sums[p[1]] for p in PAIRS}
+    det = v["xx"] * v["yy"] - v["xy"] ** 2
+    if det * 10**9 <= n**4:
+        return None
+    px, py = v["xz"] * v["yy"] - v["yz"] * v["xy"], v["yz"] * v["xx"] - v["xz"] * v["xy"]
+    left = v["zz"] * det - px * v["xz"] - py * v["yz"]
+    if left * 10**6 <= det * n**2:
+        return None
+    bend = {c: v[f"z{c}"] * det - px * v[f"x{c}"] - py * v[f"y{c}"] for c in "rgb"}
+    weight = sum(b * b for b in bend.values())
+    if weight * 10**9 <= left**2:
+        return None
+    gx = sum((v[f"x{c}"] * v["yy"] - v[f"y{c}"] * v["xy"]) * b for c, b in bend.items())
+    gy = sum((v[f"y{c}"] * v["xx"] - v[f"x{c}"] * v["xy"]) * b for c, b in bend.items())
+    return (px * weight - gx * left) / (2 * det * weight), (py * weight - gy * left) / (2 * det * weight)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.paints import PAIRS, centre
 from .pixels import d
 from .text import attribute_number
 
@@ -123,22 +128,28 @@ def paint_attributes(kind: Column, name: Column, color: Column, alpha: Column) -
 
 
 def centres(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """The centre that the channels' paraboloids c = m + bx x + by y + d (x x + y y) share, weighted by their curvature d; from covariances alone.
-
-    The plane part is taken out of x x + y y first, which leaves one division for each channel; regions of a line, or without curvature, have none."""
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    z = x * x + y * y
-    cov = {f"{a}{b}": F.covar_pop(u, v) for a, u in (("x", x), ("y", y), ("z", z)) for b, v in (("x", x), ("y", y), ("z", z), *((c, F.col(c).cast("double")) for c in "rgb"))}
-    sums = pixels.groupBy(*keys).agg(*(e.alias(n) for n, e in cov.items()))
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    plane = lambda to: ((F.col(f"x{to}") * F.col("yy") - F.col(f"y{to}") * F.col("xy")) / F.col("det"), (F.col(f"y{to}") * F.col("xx") - F.col(f"x{to}") * F.col("xy")) / F.col("det"))
-    known = sums.withColumn("det", det).filter(F.col("det") > d(1e-9))
-    px, py = plane("z")
-    known = known.withColumns({"px": px, "py": py}).withColumn("left", F.col("zz") - F.col("px") * F.col("xz") - F.col("py") * F.col("yz")).filter(F.col("left") > d(1e-6))
-    for c in "rgb":
-        gx, gy = plane(c)
-        bend = (F.col(f"z{c}") - F.col("px") * F.col(f"x{c}") - F.col("py") * F.col(f"y{c}")) / F.col("left")
-        known = known.withColumn(f"d{c}", bend).withColumns({f"bx{c}": gx - F.col(f"d{c}") * F.col("px"), f"by{c}": gy - F.col(f"d{c}") * F.col("py")})
-    total = lambda n: sum((F.col(f"{n}{c}") * F.col(f"d{c}") for c in "rgb"), d(0))
-    met = known.withColumn("weight", total("d")).filter(F.col("weight") > d(1e-9))
-    return met.select(*keys, *((F.round(-total(n) / (d(2) * F.col("weight")), 3) + d(0)).alias(to) for n, to in (("bx", "cx"), ("by", "cy"))))
+    """The centre that the channels' paraboloids c = m + bx x + by y + d (x x + y y) share, weighted by their curvature d; from sums alone.
+
+    The plane part is taken out of x x + y y first; regions of a line, or without curvature, have none. Points on one circle, such as any three, have no
+    curvature either, which doubles tell from a slight one only by chance: sums are whole numbers, those of products with z = x x + y y in two halves of 32 bits,
+    and one division of whole numbers gives each coordinate. A place more than 55,108 pixels from the corner, beyond which z z takes over 64 bits, is an error."""
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    far = F.raise_error(F.lit("centres: a pixel lies more than 55108 pixels from the corner")).cast("long")
+    of = {"x": x, "y": y, "z": F.col("__z"), **{c: F.col(c).cast("long") for c in "rgb"}}
+    pairs = {p: of[p[0]] * of[p[1]] for p in PAIRS}
+    parts = {n: F.sum(c) for n, c in (of | {p: v for p, v in pairs.items() if "z" not in p}).items()}
+    for p in (p for p in PAIRS if "z" in p):
+        parts |= {p: F.sum(pairs[p].bitwiseAND(F.lit(0xFFFFFFFF))), f"{p}_high": F.sum(F.shiftright(pairs[p], 32))}
+    sums = pixels.withColumn("__z", x * x + y * y).withColumn("__z", F.when(F.col("__z") <= 3_037_000_499, F.col("__z")).otherwise(far))
+    sums = sums.groupBy(*keys).agg(F.count("*").alias("__n"), *(c.alias(f"__{n}") for n, c in parts.items()))
+    names = ["n", *parts]
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(f"__{n}").to_pylist() for n in names), strict=True)
+            at = [centre(dict(zip(names, row, strict=True))) for row in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([None if c is None else c[i] for c in at], pa.float64()) for i in (0, 1))], [*keys, "cx", "cy"])
+
+    shape = StructType([pixels.schema[k] for k in keys] + [StructField("cx", DoubleType()), StructField("cy", DoubleType())])
+    found = sums.mapInArrow(solved, shape).filter("cx IS NOT NULL")
+    return found.select(*keys, *((F.round(F.col(c) * d(1000)) / d(1000) + d(0)).alias(c) for c in ("cx", "cy")))
